@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowframe.llm.ann import op1_nearest_neighbours
+from rowframe.llm.chat import OP5_SQL, op5_chat_format
+from rowframe.llm.decontam import op3_decontamination
 from rowframe.llm.substring import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op5_chat_format": op5_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": OP5_SQL,
+}
