@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from rowframe.llm.ann import op1_nearest_neighbours
 from rowframe.llm.chat import OP5_SQL, op5_chat_format
 from rowframe.llm.decontam import op3_decontamination
+from rowframe.llm.hmm import op10_hmm_scoring
+from rowframe.llm.packing import op9_best_fit_packing
 from rowframe.llm.substring import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_chat_format": op5_chat_format,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_hmm_scoring": op10_hmm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
