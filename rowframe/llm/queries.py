@@ -11,6 +11,7 @@ from rowframe.llm.chat import OP5_SQL, op5_chat_format
 from rowframe.llm.decontam import op3_decontamination
 from rowframe.llm.hmm import op10_hmm_scoring
 from rowframe.llm.jaccard import op8_jaccard_join
+from rowframe.llm.langid import op6_language_id
 from rowframe.llm.packing import op9_best_fit_packing
 from rowframe.llm.substring import op2_substring_dedup
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_chat_format": op5_chat_format,
+    "op6_language_id": op6_language_id,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_hmm_scoring": op10_hmm_scoring,
