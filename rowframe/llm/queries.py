@@ -13,12 +13,14 @@ from rowframe.llm.hmm import op10_hmm_scoring
 from rowframe.llm.jaccard import op8_jaccard_join
 from rowframe.llm.langid import op6_language_id
 from rowframe.llm.packing import op9_best_fit_packing
+from rowframe.llm.pii import op4_pii
 from rowframe.llm.substring import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_pii": op4_pii,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
     "op8_jaccard_join": op8_jaccard_join,
