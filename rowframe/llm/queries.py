@@ -10,6 +10,7 @@ from rowframe.llm.ann import op1_nearest_neighbours
 from rowframe.llm.chat import OP5_SQL, op5_chat_format
 from rowframe.llm.decontam import op3_decontamination
 from rowframe.llm.hmm import op10_hmm_scoring
+from rowframe.llm.html_crf import op7_html_extraction
 from rowframe.llm.jaccard import op8_jaccard_join
 from rowframe.llm.langid import op6_language_id
 from rowframe.llm.packing import op9_best_fit_packing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
+    "op7_html_extraction": op7_html_extraction,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_hmm_scoring": op10_hmm_scoring,
