@@ -7,6 +7,7 @@ import io
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import chain, islice
 from typing import Any, TypeVar
 
 from rowframe.errors import RowFrameError
@@ -115,13 +116,11 @@ def parse(text: str, d: Dialect) -> tuple[list[str], list[list[str]]]:
         if first is None:
             return [], []
         if d.columns is False:
-            names, rows = [str(k) for k in range(len(first))], iter([first, *rows])
+            names, rows = [str(k) for k in range(len(first))], chain([first], rows)
         else:
             names = d.columns(first) if callable(d.columns) else first
     out = []
-    for k, row in enumerate(rows):
-        if d.to_record is not None and k >= d.to_record:
-            break
+    for k, row in enumerate(islice(rows, d.to_record)):
         if len(row) != len(names):
             if not d.relax_column_count:
                 raise RowFrameError(f"inconsistent column count: record {k + 1} has {len(row)} cells, the header {len(names)}")
