@@ -226,3 +226,24 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     leaks = find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_items = F.size("item_ids").cast("long")
     return leaks.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (n_items >= MIN_ITEMS).alias("contaminated"))
+
+
+OP3_SQL = r"""
+WITH both_ AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+ws AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM both_),
+w AS (SELECT side, id, len(ws) AS size, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM ws),
+runs AS (
+  SELECT side, id, size, i, [word, lead(word, 1) OVER x, lead(word, 2) OVER x, lead(word, 3) OVER x, lead(word, 4) OVER x, lead(word, 5) OVER x, lead(word, 6) OVER x, lead(word, 7) OVER x] AS run
+  FROM w WINDOW x AS (PARTITION BY side, id ORDER BY i)),
+items AS (SELECT DISTINCT id AS item_id, least(size, 8) AS n, array_to_string(run[1:least(size, 8)], ' ') AS seq FROM runs WHERE side = 'b' AND i + least(size, 8) - 1 <= size),
+found AS (
+  SELECT r.id AS doc_id, r.i, l.n, items.item_id
+  FROM runs r CROSS JOIN (SELECT DISTINCT n FROM items) l JOIN items ON items.n = l.n AND items.seq = array_to_string(r.run[1:l.n], ' ')
+  WHERE r.side = 'd' AND r.i + l.n - 1 <= r.size),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, i + unnest(range(0, n)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT ws.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM ws LEFT JOIN hit ON hit.doc_id = ws.id LEFT JOIN named ON named.doc_id = ws.id WHERE side = 'd'
+"""

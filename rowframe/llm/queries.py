@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from rowframe.llm.ann import op1_nearest_neighbours
 from rowframe.llm.chat import OP5_SQL, op5_chat_format
-from rowframe.llm.decontam import op3_decontamination
+from rowframe.llm.decontam import OP3_SQL, op3_decontamination
 from rowframe.llm.hmm import op10_hmm_scoring
 from rowframe.llm.html_crf import op7_html_extraction
 from rowframe.llm.jaccard import op8_jaccard_join
 from rowframe.llm.langid import op6_language_id
 from rowframe.llm.packing import op9_best_fit_packing
 from rowframe.llm.pii import op4_pii
-from rowframe.llm.substring import op2_substring_dedup
+from rowframe.llm.substring import OP2_SQL, op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
@@ -33,5 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op3_decontamination": OP3_SQL,
     "op5_chat_format": OP5_SQL,
 }

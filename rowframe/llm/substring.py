@@ -283,3 +283,22 @@ def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of remove_repeats() over all documents."""
     kept = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+win AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER x AS seq, count(*) OVER x AS n
+  FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+least AS (SELECT seq, min(doc_id) AS first FROM win WHERE n = 13 GROUP BY seq),
+gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS i
+  FROM (SELECT win.doc_id, win.i FROM win JOIN least USING (seq) WHERE n = 13 AND first < doc_id)),
+kept AS (
+  SELECT w.doc_id, count(*) AS n_words, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY w.i) FILTER (gone.i IS NULL) AS kept
+  FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
