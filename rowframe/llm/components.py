@@ -8,26 +8,25 @@ from pyspark.sql import functions as F
 from rowframe.llm.durable import durable
 
 
-def _least_neighbour(edges: DataFrame, node: str, other: str) -> DataFrame:
-    """Each edge with the least node next to (or equal to) ``node``."""
-    least = edges.groupBy(node).agg(F.least(F.min(other), F.first(node)).alias("m"))
-    return edges.join(least, node)
+def _least(edges: DataFrame) -> DataFrame:
+    """The least smaller neighbour of each node that has one; edges run from the larger node a to the smaller b."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: every node of ``edges`` (a, b: long) and the least node of its component.
 
-    Each round is two aggregations and two joins over the edges; rounds grow with the logarithm of the longest path. A
-    round's edges are kept as files, so a lost executor costs no earlier round. Loops and repeats are allowed.
+    Each round hangs every node's larger neighbours, then its smaller ones, onto the least node next to it; rounds grow
+    with the logarithm of the longest path. The edges of a round, and what a hub is joined with, are kept as files: a
+    lost executor costs no earlier round, and a hub's edges may be split over tasks. Loops and repeats are allowed.
     """
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sign = None
     while True:
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _least_neighbour(both, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        small = _least_neighbour(large, "a", "b")
-        small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
+        least = durable(_least(now)).select(F.col("a").alias("b"), "m")
+        large = now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        pulled = large.join(_least(large), "a").select("a", "b", "m")
+        small = pulled.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
         now = durable(small.where("a <> b").distinct())
         last, sign = sign, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if last == sign:
