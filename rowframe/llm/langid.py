@@ -181,14 +181,21 @@ class Network:
 
 
 def fit(docs: DataFrame, is_train: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Network | None:
-    """A network learned from at most SAMPLE_ROWS rows of each language, chosen by a hash of the id; None without any."""
+    """A network learned from at most SAMPLE_ROWS rows of each language, chosen by a hash of the id; None without any.
+
+    A language's rows are thinned to about twice the sample by their hash before they are ranked, so what is shuffled
+    does not grow with the corpus.
+    """
     text = F.col(text_column).cast("string")
     labelled = docs.where(is_train & F.col(lang_column).isNotNull() & (F.length(text) > 0)).select(F.col(lang_column).cast("string").alias("lang"), F.xxhash64(F.col(id_column), F.lit(7)).alias("h"), F.col(id_column).alias("id"), text.alias("text"))
-    chosen = labelled.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= SAMPLE_ROWS)
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2 * SAMPLE_ROWS / n))])
+    drawn = labelled.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * float(1 << 40))
+    chosen = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= SAMPLE_ROWS)
     place = F.pmod(F.col("h"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     rows = sorted((r["lang"], r["h"], r["part"]) for r in chosen.select("lang", "h", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("part")).collect())
-    if not rows:
-        return None
     languages = sorted({r[0] for r in rows})
     labels = np.array([languages.index(r[0]) for r in rows])
     return Network(languages).fit([np.frombuffer(r[2].encode(), np.uint8) for r in rows], labels)
