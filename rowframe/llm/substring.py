@@ -33,8 +33,8 @@ from rowframe.llm import text as X
 
 #: Words of a window.
 WIDTH = 13
-#: Rounds of recompression; extents of later rounds are wider than a window.
-ROUNDS = 3
+#: Rounds of recompression; extents of later rounds are mostly wider than a window.
+ROUNDS = 2
 
 _FAR = np.int64(1) << np.int64(40)
 _U = np.uint64
@@ -93,18 +93,17 @@ def anchors(words: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> np.ndarra
         if not fits.any():
             break
         lo, hi = lo[fits], hi[fits]
-        if (lo[1:] < lo[:-1]).any():
-            order = np.argsort(lo, kind="stable")
-            lo, hi = lo[order], hi[order]
         key = (X.mix((total[hi + 1] - total[lo]) * undo[lo] + (hi - lo).astype(np.uint64)) >> _U(2)) | _U(level << 62)
-        for back in range(width - int((hi - lo).min())):
-            ok = (hi - (width - 1) <= lo - back) & (lo >= back) & (lo - back < n)
-            start, value = lo[ok] - back, key[ok]
-            if not len(start):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], start[1:] != start[:-1])))
-            slot = start[first]
-            best[slot] = np.maximum(best[slot], np.maximum.reduceat(value, first))
+        # a phrase serves the windows that start at most ``reach`` words before its extent
+        reach = width - 1 - (hi - lo)
+        most = int(reach.max())
+        held = np.zeros((most + 1, len(words)), np.uint64)
+        held[reach, lo] = key
+        near = held[most]
+        for r in range(most - 1, -1, -1):
+            near[:-1] = np.maximum(near[:-1], near[1:])
+            np.maximum(near, held[r], out=near)
+        np.maximum(best, near[:n], out=best)
     bare = best == 0
     if bare.any():
         best[bare] = X.window_hashes(words, width, 7)[bare] >> _U(2)
@@ -119,20 +118,24 @@ class _Block:
         order = np.argsort(ids, kind="stable")
         self.table, self.ids = table.take(pa.array(order)), ids[order]
         self.data, self.offsets = X.utf8(self.table["text"])
+        self.slabs = list(self._slabs())
+        self.anchors: list[np.ndarray] = []
 
-    def slabs(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """First and last document, and of each word: its hash and document; which windows lie in one document."""
+    def _slabs(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First and last document of each slab, and of each word: its hash and document."""
         for i, j in X.slabs(self.offsets):
             part = self.data[self.offsets[i] : self.offsets[j]]
             starts, ends, doc = X.word_bounds(part, self.offsets[i : j + 1] - self.offsets[i], X.SPACE_BYTES)
-            yield i, j, X.word_hashes(part, starts, ends), doc + i, np.zeros(0)
+            yield i, j, X.word_hashes(part, starts, ends), doc + i
 
     def keys(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Anchors and the documents they stand in, repeats in a row left out; documents ascend."""
         keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, _, words, doc, _ in self.slabs():
+        self.anchors = []
+        for _, _, words, doc in self.slabs:
             inside = X.windows_in_one_document(doc, width)
-            key, d = anchors(words, doc, width)[inside], doc[: len(inside)][inside]
+            self.anchors.append(anchors(words, doc, width))
+            key, d = self.anchors[-1][inside], doc[: len(inside)][inside]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1])
             keys.append(key[new])
@@ -140,12 +143,11 @@ class _Block:
         return np.concatenate(keys), np.concatenate(docs)
 
     def windows(self, shared: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and documents of the windows whose anchor is in ``shared`` (sorted)."""
+        """Hashes and documents of the windows whose anchor is in ``shared`` (sorted); keys() has found the anchors."""
         hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, _, words, doc, _ in self.slabs():
-            inside = X.windows_in_one_document(doc, width)
-            at = np.flatnonzero(inside)
-            at = at[_among(anchors(words, doc, width)[at], shared)]
+        for (_, _, words, doc), own in zip(self.slabs, self.anchors, strict=True):
+            at = np.flatnonzero(X.windows_in_one_document(doc, width))
+            at = at[_among(own[at], shared)]
             hashes.append(X.window_hashes(words, width, 1)[at])
             docs.append(doc[at])
         return np.concatenate(hashes), np.concatenate(docs)
@@ -233,7 +235,7 @@ def _cover(width: int):
         known, first, _ = _distinct(*block.windows(shared, width))
         elsewhere = _replies(replies, 2)
         n_words, n_removed, kept = [], [], []
-        for i, j, words, doc, _ in block.slabs():
+        for i, j, words, doc in block.slabs:
             gone = np.zeros(len(words), bool)
             hashes = X.window_hashes(words, width, 1)
             if len(known) and len(hashes):
