@@ -1,6 +1,7 @@
 """Benchmark decontamination by a generalised suffix automaton of the benchmark items.
 
-The automaton of all normalised items (one for each bounded shard of them) is built on the driver and broadcast.
+The automaton of all normalised items is built on the driver and broadcast; a benchmark larger than one automaton may
+hold is cut into shards, which go over the documents a few at a time, each pass adding to what was found before.
 Training words stream through it; the longest matching length tells at each word whether it ends a window of an item.
 Stretches without ``shortest window`` consecutive benchmark words cannot match; a table of word hashes passes over them
 in numpy, and only the rest is walked word by word.
@@ -14,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowframe.llm import text as X
+from rowframe.llm.durable import durable
 from rowframe.llm.rows import add_columns
 
-#: Words of a window, items from which a document counts as contaminated, and what one automaton holds at most.
-WINDOW, MIN_ITEMS, SHARD_BYTES = 8, 2, 8 << 20
+#: Words of a window, items from which a document counts as contaminated, bytes of items in one automaton, and automata
+#: that are broadcast at a time: together, a bound of the broadcast.
+WINDOW, MIN_ITEMS, SHARD_BYTES, AT_ONCE = 8, 2, 1 << 20, 4
 
 #: What separates words: [\x00-\x2F\x3A-\x60\x7B-\x7F], after A-Z became a-z.
 SEPARATORS = np.zeros(256, dtype=bool)
@@ -140,6 +143,13 @@ def _scan(automata: list) -> callable:
             slots = (X.word_hashes(part, starts, ends) & np.uint64(_TABLE - 1)).astype(np.int64)
             hit, names = np.zeros(len(starts), bool), {}
             raw = part.tobytes()
+            bounds = np.searchsorted(doc, np.arange(j - i + 1))
+            if "hit_spans" in table.column_names:
+                for d in range(i, j):
+                    if found := table["item_ids"][d].as_py():
+                        names[d - i] = set(found)
+                        for span in table["hit_spans"][d].as_py():
+                            hit[bounds[d - i] + span["first"] : bounds[d - i] + span["first"] + span["words"]] = True
             for shared in automata:
                 automaton = shared.value
                 known = automaton.known[slots]
@@ -151,7 +161,6 @@ def _scan(automata: list) -> callable:
                     for x, y, found in automaton.matches(words):
                         hit[a + x : a + y] = True
                         names.setdefault(int(doc[a]), set()).update(found)
-            bounds = np.searchsorted(doc, np.arange(j - i + 1))
             n_words.append(np.diff(bounds))
             n_hit.append(np.diff(np.concatenate(([0], np.cumsum(hit)))[bounds]))
             for d in range(j - i):
@@ -170,17 +179,16 @@ def _scan(automata: list) -> callable:
     return scan
 
 
-def _automata(items: DataFrame, item_id: str, text_column: str, window: int) -> list:
-    """Broadcast automata of shards of items; each shard's text is at most about SHARD_BYTES."""
+def _shards(items: DataFrame, item_id: str, text_column: str) -> list[DataFrame]:
+    """The items (item, text) in shards of at most about SHARD_BYTES of text, dealt by a hash."""
     own = items.select(F.col(item_id).cast("string").alias("item"), F.col(text_column).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = -(-total // SHARD_BYTES) or 1
-    built = []
-    for k in range(shards):
-        part = own if shards == 1 else own.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k)
-        rows = part.collect()
-        built.append(items.sparkSession.sparkContext.broadcast(SuffixAutomaton([(r["item"], normal_words(r["text"])) for r in sorted(rows)], window)))
-    return built
+    n = -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES) or 1
+    return [own if n == 1 else own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _broadcast(shard: DataFrame, window: int):
+    rows = sorted((r["item"], r["text"]) for r in shard.collect())
+    return shard.sparkSession.sparkContext.broadcast(SuffixAutomaton([(name, normal_words(text)) for name, text in rows], window))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -190,8 +198,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_column: str = "text", ite
     of ``docs`` give way. Items with one id count as one item.
     """
     added = "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<first: long, words: long, start: long, end: long>>"
-    scan = _scan(_automata(items, item_id, item_text, window))
-    return add_columns(docs.withColumnRenamed(text_column, "text") if text_column != "text" else docs, added, scan, ["text"])
+    shards = _shards(items, item_id, item_text)
+    out = docs.withColumnRenamed(text_column, "text") if text_column != "text" else docs
+    for k in range(0, len(shards), AT_ONCE):
+        automata = [_broadcast(s, window) for s in shards[k : k + AT_ONCE]]
+        out = add_columns(out, added, _scan(automata), ["text", "item_ids", "hit_spans"] if k else ["text"])
+        if k + AT_ONCE < len(shards):
+            out = durable(out)
+            for a in automata:
+                a.unpersist()
+    return out
 
 
 def cut_spans(text: Column, spans: Column) -> Column:

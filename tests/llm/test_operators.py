@@ -153,7 +153,8 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_leaks_over_several_automata(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "SHARD_BYTES", 60)
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 300)
+    monkeypatch.setattr(decontam, "AT_ONCE", 2)
     items = [(k, " ".join(f"i{k}w{n}" for n in range(12))) for k in range(12)]
     rows = [(k, f"x {items[k % 12][1]} y {items[(k + 5) % 12][1][:40]} z") for k in range(24)]
     got = decontam.find_leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
