@@ -3,7 +3,8 @@
 *Classes.*  Equal texts are one class (grouped by a digest, combined before the shuffle); only its least document goes on.
 *Forest.*  Every class has ``TREES`` signatures of MinHash values; a tree is their trie, kept as sorted prefixes. A pair
 of similarity s meets in a tree to depth k with probability s^k, so the matched prefix is shortened from ``DEEPEST`` until
-1 - (1 - s^k)^trees reaches the target recall at the threshold: that k is the depth at which tries are cut.
+1 - (1 - s^k)^trees reaches the target recall at the threshold: that k is the depth at which tries are cut. A node there
+holds all deeper matches below it, so only the nodes at the cut are sent, each named by a hash of its prefix.
 *Candidates.*  Classes under one trie node belong together. A batch of classes joins its own members of a node and sends
 only its least one on, so a node that a third of all classes hold costs one entry a batch; nodes give star edges, whose
 connected components are the candidate groups. No pairs are emitted.
