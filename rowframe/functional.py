@@ -80,6 +80,7 @@ reduce_data = _function("reduce")
 count = _function("count")
 for_each = _function("for_each")
 for_each_async = _function("for_each_async")
+merge_sorted = _function("merge_sorted")
 map_async = _function("map_async")
 reduce_async = _function("reduce_parallel")
 

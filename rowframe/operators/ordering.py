@@ -42,6 +42,13 @@ class OrderOperators(GroupOperators):
             raise ValueError(f"unknown direction: {direction}")
         return self._select([q(c) for c in self.columns], [(key, direction == "desc", nulls_first)])
 
+    def merge_sorted(self, others, column: str, direction: str = "asc"):
+        """This frame and others, each sorted by the column, as one sorted frame: a range-partitioned sort."""
+        out = self
+        for other in others:
+            out = out.append(other)
+        return out.sort_by(column, direction)
+
     def head(self, n: int = 10):
         """The first n rows; a negative n leaves out that many at the end."""
         if n < 0:

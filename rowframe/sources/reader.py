@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from typing import IO, Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,18 @@ def _strings(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path stands for, sorted; from Spark's listing, without reading them."""
+    return sorted(unquote(f) for f in spark.read.text(path).inputFiles())
+
+
 def _first_lines(spark: SparkSession, path: str, n: int, d: Dialect) -> list[str]:
-    """The first n lines of a file (of the first file of a folder), read by Spark from wherever it is."""
-    text = spark.read.option("encoding", d.encoding).text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
-    return [r["value"].removesuffix("\r") for r in text.orderBy("f", "b", "m").limit(n).collect()]
+    """The first n lines of a file, or of a folder's first file that has any: one small task, whatever the size."""
+    for file in _files(spark, path):
+        head = spark.read.option("encoding", d.encoding).text(file).where(F.col("_metadata.file_block_start") == 0).select("value").limit(n).collect()
+        if head:
+            return [r["value"].removesuffix("\r") for r in head]
+    return []
 
 
 def _keyed(df: DataFrame) -> tuple[DataFrame, list[Key]]:
@@ -79,7 +88,8 @@ def _whole_files(spark: SparkSession, path: str, d: Dialect, hook: Callable[[str
     """Files parsed whole, one a task: for raw-text hooks, and for line windows over quoted line feeds."""
     files = spark.read.option("encoding", d.encoding).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("f"), "value")
     prepared = lambda text: hook(text.strip()) if hook else text
-    first = files.orderBy("f").limit(1).collect()
+    listed = _files(spark, path)
+    first = spark.read.option("encoding", d.encoding).text(listed[0], wholetext=True).collect() if listed else []
     names = parse(prepared(first[0]["value"]), replace(d, to_record=1, relax_column_count=True))[0] if first else []
 
     def rows(batches: Iterator[Any]) -> Iterator[Any]:

@@ -43,3 +43,12 @@ def test_plans_stay_in_the_jvm(spark):
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas")), name
     pruned = catalog.QUERIES["filter_orders"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice)" in pruned and "o_custkey" not in pruned
+
+
+def test_shuffles_carry_little(spark):
+    """Deduplication keeps a group's first row before its shuffle; head is a top-k, not a sort; groups are summed first."""
+    plan = lambda name: catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dedup = plan("dedup_segment_nation")
+    assert dedup.index("Final") < dedup.index("Exchange") < dedup.index("Partial") and "WindowGroupLimit" in dedup
+    assert "TakeOrderedAndProject" in plan("tail_events") and "Exchange rangepartitioning" not in plan("tail_events")
+    assert "partial_count" in plan("group_by_role") and "partial_max_by" in plan("pivot_status")

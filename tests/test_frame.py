@@ -76,6 +76,11 @@ def test_sort_is_stable(spark):
     assert got == sorted(((k % 3, k) for k in range(30)), key=lambda x: -x[0])
 
 
+def test_merging_sorted_frames(spark):
+    parts = [Frame.from_data(spark, [{"k": k} for k in own]) for own in ([1, 4], [2, 2, 9], [3])]
+    assert [r["k"] for r in parts[0].merge_sorted(parts[1:], "k").to_array()] == [1, 2, 2, 3, 4, 9]
+
+
 def test_slices(shop):
     assert ids(shop.head(2)) == ["1", "2"]
     assert ids(shop.take(2)) == ["1", "2"]

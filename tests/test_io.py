@@ -3,6 +3,8 @@
 import io
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rowframe import (
@@ -228,6 +230,19 @@ def test_watched_folder(spark, tmp_path):
     assert sorted(r["id"] for r in from_file(spark, str(tmp_path / "out")).to_array()) == ["1", "2", "9"]
 
 
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(*[st.text(st.characters(codec="utf-8", exclude_characters="\r\x00\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029\ufeff"), max_size=8)] * 2), min_size=1, max_size=6))
+def test_text_round_trip(spark, rows):
+    f = Frame.from_data(spark, [{"a": f"x{a}", "b": b} for a, b in rows], "a string, b string")
+    assert from_string(spark, to_string(f)).to_array() == f.to_array()
+
+
+def test_folder_with_an_empty_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    (tmp_path / "b c.csv").write_text("id,v\n1,x\n")
+    assert from_file(spark, str(tmp_path)).to_array() == [{"id": "1", "v": "x"}]
+
+
 def test_executor_work(spark):
     assert process_in_worker(spark, lambda x: x * 2, 21) == 42
     assert process_in_parallel(spark, range(30), lambda x: x + 1, chunk_size=7) == list(range(1, 31))
