@@ -85,11 +85,11 @@ def aggregate_orders(spark, sf_dir):
     return f._df.agg(F.round(F.sum(v), 1).alias("s"), F.round(F.avg(v), 4).alias("a"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"))
 
 
-@query("SELECT 'sum' AS op, round(sum(o_totalprice), 1) AS v FROM orders UNION ALL SELECT 'avg', round(avg(o_totalprice), 1) FROM orders UNION ALL SELECT 'min', round(min(o_totalprice), 1) FROM orders UNION ALL SELECT 'max', round(max(o_totalprice), 1) FROM orders UNION ALL SELECT 'count', count(*) FROM orders")
+@query("SELECT 'sum' AS op, round(sum(o_totalprice) / 1000, 2) AS v FROM orders UNION ALL SELECT 'avg', round(avg(o_totalprice) / 1000, 2) FROM orders UNION ALL SELECT 'min', min(o_totalprice) FROM orders UNION ALL SELECT 'max', max(o_totalprice) FROM orders UNION ALL SELECT 'count', count(*) FROM orders")
 def aggregate_each_operation(spark, sf_dir):
     f = _t(spark, sf_dir, "orders")
-    rows = [(op, round(float(f.aggregate("o_totalprice", op)), 1)) for op in ("sum", "avg", "min", "max", "count")]
-    return spark.createDataFrame(rows, "op string, v double")
+    got = spark.createDataFrame([(op, float(f.aggregate("o_totalprice", op))) for op in ("sum", "avg", "min", "max", "count")], "op string, v double")
+    return got.select("op", F.when(F.col("op").isin("sum", "avg"), F.round(F.col("v") / 1000, 2)).otherwise(F.col("v")).alias("v"))
 
 
 @query("SELECT sum(try_cast(props->>'$.k' AS DOUBLE)) AS s, count(props->>'$.k') AS n FROM events")

@@ -190,10 +190,10 @@ class BaseFrame:
             value = value(Columns(self.columns))
         return as_column(value)
 
-    def _test(self, condition: Any) -> Column:
-        """A boolean Column from a Column, SQL text, PyFn or callback; NULL counts as false."""
+    def _condition(self, condition: Any) -> Column:
+        """A boolean Column from a Column, SQL text, PyFn or callback, as it is, so that scans can take filters."""
         c = F.expr(condition) if isinstance(condition, str) else self._value(condition)
-        return F.coalesce(c.cast("boolean"), F.lit(False))
+        return c.cast("boolean")
 
 
 def quote_name(name: str) -> str:

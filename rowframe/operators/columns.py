@@ -72,7 +72,7 @@ class ColumnOperators(BaseFrame):
 
     def update_where(self, condition: Any, changes: Mapping[str, Any] | Callable[[Columns], Mapping[str, Any]]):
         """Changes merged where the condition holds; a new column is NULL elsewhere."""
-        test = self._test(condition)
+        test = self._condition(condition)
         return self._replace({k: F.when(test, v).otherwise(q(k) if k in self.columns else F.lit(None)) for k, v in self._changes(changes).items()})
 
     def _changes(self, changes: Any) -> dict[str, Column]:

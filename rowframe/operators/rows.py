@@ -24,7 +24,7 @@ class Split(NamedTuple):
 class RowOperators(ColumnOperators):
     def find_rows_where(self, condition: Any):
         """The rows for which the condition holds."""
-        return self._with(self._df.filter(self._test(condition)))
+        return self._with(self._df.filter(self._condition(condition)))
 
     filter = find_rows_where
 
@@ -63,7 +63,7 @@ class RowOperators(ColumnOperators):
 
     def remove_where(self, condition: Any):
         """The rows for which the condition does not hold; one for which it is NULL stays."""
-        return self._with(self._df.filter(~self._test(condition)))
+        return self._with(self._df.filter(~F.coalesce(self._condition(condition), F.lit(False))))
 
     def split(self, condition: Any) -> Split:
         """Rows for which the condition holds, and all others; each in order."""
