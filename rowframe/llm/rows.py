@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,15 +10,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def add_columns(df: DataFrame, added: str, compute: Callable[[pa.Table], list[pa.Array]], needs: list[str]) -> DataFrame:
+def add_columns(df: DataFrame, added: str, compute: Callable[[pa.Table], list[pa.Array]], needs: list[str], keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` plus the columns of the DDL ``added``, computed by Arrow batch from the columns ``needs``.
 
-    A column of ``df`` whose name is among the added ones (in any case) gives way. Each batch is handled on its own, so
+    ``keep`` names the columns that pass (all by default): what is not asked for does not cross back into the JVM. A
+    column of ``df`` whose name is among the added ones (in any case) gives way. Each batch is handled on its own, so
     memory is bounded by the batch and a lost task is simply run again.
     """
     new = T._parse_datatype_string(added)
     taken = {f.name.lower() for f in new}
-    passed = [c for c in df.columns if c.lower() not in taken]
+    passed = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     kept = df.select(*[df[f"`{c}`"] for c in passed], *[df[f"`{c}`"].alias(f"__in_{k}") for k, c in enumerate(needs)])
     fields = kept.schema.fields[: len(passed)]
     out = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*fields, *new.fields]])
