@@ -9,6 +9,8 @@ in numpy, and only the rest is walked word by word.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -191,8 +193,8 @@ def _broadcast(shard: DataFrame, window: int):
     return shard.sparkSession.sparkContext.broadcast(SuffixAutomaton([(name, normal_words(text)) for name, text in rows], window))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` plus n_words, n_hit, item_ids (sorted as strings) and hit_spans (word position, words, byte bounds).
+def find_leaks(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) plus n_words, n_hit, item_ids (sorted as strings) and hit_spans (word position, words, byte bounds).
 
     A null text has no words; a null item or item id takes no part; an item without words never occurs. Clashing columns
     of ``docs`` give way. Items with one id count as one item.
@@ -202,8 +204,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_column: str = "text", ite
     out = docs.withColumnRenamed(text_column, "text") if text_column != "text" else docs
     for k in range(0, len(shards), AT_ONCE):
         automata = [_broadcast(s, window) for s in shards[k : k + AT_ONCE]]
-        out = add_columns(out, added, _scan(automata), ["text", "item_ids", "hit_spans"] if k else ["text"])
-        if k + AT_ONCE < len(shards):
+        last = k + AT_ONCE >= len(shards)
+        out = add_columns(out, added, _scan(automata), ["text", "item_ids", "hit_spans"] if k else ["text"], keep if last else None)
+        if not last:
             out = durable(out)
             for a in automata:
                 a.unpersist()
@@ -239,7 +242,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, min_span: int = WINDOW, max
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     """The contract's figures of find_leaks() for all documents against all benchmark items."""
-    leaks = find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     n_items = F.size("item_ids").cast("long")
     return leaks.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (n_items >= MIN_ITEMS).alias("contaminated"))
 
