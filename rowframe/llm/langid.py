@@ -8,7 +8,7 @@ numpy (Adam) on a bounded, stratified sample of labelled rows. Prediction reads
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -234,13 +234,13 @@ class _Reading:
         return [pa.array(found, pa.string()), pa.array(np.clip(score, 0.0, 1.0))]
 
 
-def identify(docs: DataFrame, network: Network | None, text_column: str = "text") -> DataFrame:
-    """``docs`` plus lang_pred and score (0 to 1): ``und``, 0 where the text is null or has no letter.
+def identify(docs: DataFrame, network: Network | None, text_column: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) plus lang_pred and score (0 to 1): ``und``, 0 where the text is null or has no letter.
 
     Only the text is read. Clashing columns of ``docs`` give way. Without a network every row is ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    return add_columns(docs, "lang_pred string, score double", _Reading(shared), [text_column])
+    return add_columns(docs, "lang_pred string, score double", _Reading(shared), [text_column], keep)
 
 
 def remainder(c: Column, n: int) -> Column:
@@ -248,12 +248,12 @@ def remainder(c: Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % n
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
+def identify_documents(docs: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """identify() with a network learned from the documents themselves, those of remainder 0 (mod 5) left out."""
-    return identify(docs, fit(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 0, F.lit(False))))
+    return identify(docs, fit(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 0, F.lit(False))), keep=keep)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     """All documents; lang, source and doc_id are no inputs of a prediction."""
-    found = identify_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    found = identify_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), keep=["doc_id"])
     return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
