@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -406,16 +407,16 @@ def _extract(shared):
     return extract
 
 
-def extract_main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
-    """``pages`` plus text (empty if none) and n_chars, its code points.
+def extract_main_text(pages: DataFrame, html_column: str = "html", keep: Sequence[str] | None = None) -> DataFrame:
+    """``pages`` (or its columns ``keep``) plus text (empty if none) and n_chars, its code points.
 
     A null page is empty. Clashing columns of ``pages`` give way.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained_field())
     named = pages if html_column == "html" else pages.withColumnRenamed(html_column, "html")
-    return add_columns(named, "text string, n_chars long", _extract(shared), ["html"])
+    return add_columns(named, "text string, n_chars long", _extract(shared), ["html"], keep)
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
