@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """doc_id, piece, start, length, ids_crc32 (and ids): a row for each piece; a null text is empty and so one end id."""
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     kind = "array<struct<piece: int, start: long, length: long, ids_crc32: long" + (", ids: array<int>>>" if keep_ids else ">>")
-    cut = add_columns(own, f"pieces {kind}", _cut(vocabulary, ranks, size, end_id, keep_ids), ["text"])
+    cut = add_columns(own, f"pieces {kind}", _cut(vocabulary, ranks, size, end_id, keep_ids), ["text"], ["doc_id"])
     return cut.select("doc_id", F.inline("pieces"))
 
 
