@@ -220,14 +220,15 @@ class _Reading:
             return [pa.array([UNKNOWN] * table.num_rows, pa.string()), pa.array(np.zeros(table.num_rows))]
         self.read = self.read or network.reader()
         data, offsets = X.utf8(table.column(0))
-        parts = [np.zeros((0, len(network.languages)))]
+        parts, letters = [np.zeros((0, len(network.languages)))], [np.zeros(0, bool)]
         for i, j in X.slabs(offsets):
-            parts.append(self.read(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-        p = np.concatenate(parts)
-        letters = np.concatenate(([0], np.cumsum(_ASCII_LETTER[data])))[offsets]
+            part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            parts.append(self.read(part, bounds))
+            letters.append(np.diff(np.concatenate(([0], np.cumsum(_ASCII_LETTER[part], dtype=np.int32)))[bounds]) > 0)
+        p, plainly = np.concatenate(parts), np.concatenate(letters)
         found, score = [], p.max(axis=1, initial=0)
         for k, best in enumerate(p.argmax(axis=1).tolist() if len(p) else []):
-            plain = letters[k + 1] > letters[k] or any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode())
+            plain = plainly[k] or any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode())
             found.append(network.languages[best] if plain else UNKNOWN)
             if not plain:
                 score[k] = 0.0
