@@ -29,7 +29,7 @@ from rowframe.llm.components import components
 from rowframe.llm.durable import durable
 
 #: Words of a shingle, threshold, trees, deepest prefix, recall aimed at for a pair at the threshold, classes of a tile.
-SHINGLE, THRESHOLD, TREES, DEEPEST, RECALL, TILE = 5, Fraction(4, 5), 30, 8, 0.99999, 1024
+SHINGLE, THRESHOLD, TREES, DEEPEST, RECALL, TILE = 5, Fraction(4, 5), 30, 8, 0.99999, 128
 #: Below this many texts, a shingle's pairs are listed; above, they come from a matrix product.
 LISTED = 32
 

@@ -343,7 +343,7 @@ def brute_links(rows):
     return sorted(((i, least[find(t or "")] if sets[t or ""] else i, links[t or ""], len(texts[t or ""]) - 1 if sets[t or ""] else 0) for i, t in rows), key=str)
 
 
-@pytest.mark.parametrize("tile", [5, 1024])
+@pytest.mark.parametrize("tile", [5, 128])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
     rng = random.Random(3)
