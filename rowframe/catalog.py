@@ -55,7 +55,7 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _one(spark: SparkSession, **cells) -> DataFrame:
-    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in cells.items()])
+    return spark.range(1).select(*[(F.lit(v).cast("long") if type(v) is int else F.lit(v)).alias(k) for k, v in cells.items()])
 
 
 # ------------------------------------------------------------------------------------------------------------ flagship
@@ -141,7 +141,7 @@ def reduce_in_order(spark, sf_dir):
     return _one(spark, names=folded)
 
 
-@query("SELECT sum(n_regionkey) AS s, count(*) AS n FROM nation")
+@query("SELECT CAST(sum(n_regionkey) AS BIGINT) AS s, count(*) AS n FROM nation")
 def reduce_in_partitions(spark, sf_dir):
     s, n = _t(spark, sf_dir, "nation").reduce_parallel(lambda a, r: (a[0] + r["n_regionkey"], a[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]), (0, 0))
     return _one(spark, s=s, n=n)
