@@ -43,31 +43,32 @@ def run_forward(gru: Gru, codes: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
     k = gru.across.shape[0]
     h = np.zeros((codes.shape[1], k))
     states, trace = [], []
-    for row in codes:
-        x, g = gru.table[row], h @ gru.across
+    for x in gru.table[codes]:
+        g = h @ gru.across
         update, reset = _sigmoid(x[:, :k] + g[:, :k]), _sigmoid(x[:, k : 2 * k] + g[:, k : 2 * k])
         inner = g[:, 2 * k :]
         new = np.tanh(x[:, 2 * k :] + reset * inner)
-        trace.append((row, h, update, reset, inner, new))
+        trace.append((h, update, reset, inner, new))
         h = new + update * (h - new)
         states.append(h)
     return np.stack(states), trace
 
 
-def run_back(gru: Gru, trace: list[tuple], grad_states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def run_back(gru: Gru, codes: np.ndarray, trace: list[tuple], grad_states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the table and of the recurrent weights, through time."""
-    grad_table, grad_across = np.zeros_like(gru.table), np.zeros_like(gru.across)
+    grad_across, inputs = np.zeros_like(gru.across), []
     carry = np.zeros_like(grad_states[0])
-    for (row, h, update, reset, inner, new), grad in zip(reversed(trace), grad_states[::-1], strict=True):
+    for (h, update, reset, inner, new), grad in zip(reversed(trace), grad_states[::-1], strict=True):
         total = carry + grad
         d_new = total * (1 - update) * (1 - new * new)
         d_update = total * (h - new) * update * (1 - update)
         d_reset = d_new * inner * reset * (1 - reset)
-        at_input = np.hstack((d_update, d_reset, d_new))
+        inputs.append(np.hstack((d_update, d_reset, d_new)))
         at_state = np.hstack((d_update, d_reset, d_new * reset))
-        np.add.at(grad_table, row, at_input)
         grad_across += h.T @ at_state
         carry = total * update + at_state @ gru.across.T
+    read, at_input = codes[::-1].ravel(), np.concatenate(inputs)
+    grad_table = np.stack([np.bincount(read, column, 256) for column in at_input.T], axis=1)
     return grad_table, grad_across
 
 
@@ -100,8 +101,8 @@ class Network:
         flat, d = both.reshape(-1, both.shape[2]), p.reshape(-1, p.shape[2])
         back = p @ self.out.T
         k = a.shape[2]
-        grads_a = run_back(self.left, trace_a, back[:, :, :k])
-        grads_b = run_back(self.right, trace_b, back[::-1, :, k:])
+        grads_a = run_back(self.left, codes, trace_a, back[:, :, :k])
+        grads_b = run_back(self.right, codes[::-1], trace_b, back[::-1, :, k:])
         return loss, [*grads_a, *grads_b, flat.T @ d, d.sum(axis=0)]
 
     def fit(self, samples: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int = 11) -> Network:
