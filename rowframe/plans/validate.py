@@ -11,12 +11,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any, Protocol, runtime_checkable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from rowframe.errors import RowFrameError
 from rowframe.functions import coerce as C
 from rowframe.operators.base import Columns, quote_name
+from rowframe.ship import ship
 
 MODES = ("error", "filter", "keep")
 _ISSUES = "array<struct<message: string, path: string>>"
@@ -77,6 +78,7 @@ def _validator(validator: StandardValidator, returns: str, path: str):
         issues = got.get("issues") or []
         return {"value": None if issues else got.get("value", value), "issues": [{"message": str(i.get("message", "")), "path": str(i.get("path") or path)} for i in issues]}
 
+    ship(SparkSession.active())
     return F.udf(run, f"struct<value: {returns}, issues: {_ISSUES}>", useArrow=True)
 
 

@@ -22,6 +22,7 @@ from rowframe.operators.base import HIDDEN, Key, quote_name
 from rowframe.plans.casting import CustomCasts, apply_casts
 from rowframe.plans.headermap import HeaderMap, map_rows
 from rowframe.plans.validate import SchemaConfig, validate
+from rowframe.ship import ship
 from rowframe.sources.dialect import Dialect, Retry, cut_lines, parse
 
 
@@ -86,6 +87,7 @@ def _scan(spark: SparkSession, path: str, d: Dialect) -> tuple[DataFrame, list[K
 
 def _whole_files(spark: SparkSession, path: str, d: Dialect, hook: Callable[[str], str] | None) -> tuple[DataFrame, list[Key]]:
     """Files parsed whole, one a task: for raw-text hooks, and for line windows over quoted line feeds."""
+    ship(spark)
     files = spark.read.option("encoding", d.encoding).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("f"), "value")
     prepared = lambda text: hook(text.strip()) if hook else text
     listed = _files(spark, path)
