@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowframe.ship import ship
+
 #: Bits of a code, bits of a substring, rows of the fitting sample, queries of a broadcast, rows of a chunk.
 BITS, SUBSTRING, SAMPLE, QUERY_BLOCK, CHUNK = 128, 16, 4096, 2048, 8192
 #: Share of the sample's true neighbours that the radius has to take in.
@@ -154,6 +156,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_column: str = "vec_id"
     Where no query or no candidate is left, the result has no rows for it.
     """
     spark = vectors.sparkSession
+    ship(spark)
     base = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)")
     rows = base.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow()
     sample = {n: x for n, (_, x) in _matrix(rows["embedding"]).items()}

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from rowframe.llm import blocks as B
 from rowframe.llm import text as X
 from rowframe.llm.durable import durable
+from rowframe.ship import ship
 
 #: States, frequent words, classes of endings, passes of Baum-Welch, words of a stretch, smoothing of a class's count.
 STATES, FREQUENT, HASHED, PASSES, STRETCH, SMOOTH = 6, 1023, 1024, 3, 64, 0.1
@@ -355,6 +356,7 @@ def score_texts(docs: DataFrame, is_train: Column, id_column: str = "doc_id", te
     has only the end token. Without any training row, every word is unknown and the model stays as it starts.
     """
     spark = docs.sparkSession
+    ship(spark)
     n_blocks, n_buckets = B.block_counts(docs.count(), BLOCK_DOCS)
     trains = F.coalesce(is_train, F.lit(False))
     key = F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(n_blocks)).cast("int")

@@ -27,6 +27,7 @@ from rowframe.llm import blocks as B
 from rowframe.llm import text as X
 from rowframe.llm.components import components
 from rowframe.llm.durable import durable
+from rowframe.ship import ship
 
 #: Words of a shingle, threshold, trees, deepest prefix, recall aimed at for a pair at the threshold, classes of a tile.
 SHINGLE, THRESHOLD, TREES, DEEPEST, RECALL, TILE = 5, Fraction(4, 5), 30, 8, 0.99999, 128
@@ -206,6 +207,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     similarity >= threshold, n_copies the other rows of equal text. A null or wordless text is a class of its own. A null
     id counts as the largest one (and shows as null). Other columns are left behind.
     """
+    ship(docs.sparkSession)
     far = (1 << 63) - 1
     depth = cut_depth(threshold)
     n_buckets = B.block_counts(docs.count())[1]

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from rowframe.ship import ship
+
 
 def add_columns(df: DataFrame, added: str, compute: Callable[[pa.Table], list[pa.Array]], needs: list[str], keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` plus the columns of the DDL ``added``, computed by Arrow batch from the columns ``needs``.
@@ -17,6 +19,7 @@ def add_columns(df: DataFrame, added: str, compute: Callable[[pa.Table], list[pa
     column of ``df`` whose name is among the added ones (in any case) gives way. Each batch is handled on its own, so
     memory is bounded by the batch and a lost task is simply run again.
     """
+    ship(df.sparkSession)
     new = T._parse_datatype_string(added)
     taken = {f.name.lower() for f in new}
     passed = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]

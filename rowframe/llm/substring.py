@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from rowframe.llm import blocks as B
 from rowframe.llm import text as X
+from rowframe.ship import ship
 
 #: Words of a window.
 WIDTH = 13
@@ -272,6 +273,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     A null text has no words. Rows of one id do not remove each other's words; a null id counts as larger than any
     other. Texts shorter than ``width`` words keep all. Extra columns of ``docs`` are left behind.
     """
+    ship(docs.sparkSession)
     n_blocks, n_buckets = B.block_counts(docs.count())
     dealt = B.in_blocks(docs, id_column, text_column, n_blocks)
     by_block = dealt.groupBy("block")
