@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rowframe.llm import decontam, jaccard, langid, packing, pii
 
 #: Least score of a language for a document to stay.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
