@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from rowframe.functions import coerce as C
 from rowframe.functions.text import normalize
-from rowframe.operators.base import BaseFrame, Columns, PyFn, as_column, quote_name
+from rowframe.operators.base import HIDDEN, BaseFrame, Columns, Key, PyFn, as_column, quote_name
 
 CASTS = ("string", "number", "boolean", "date")
 
@@ -134,7 +134,6 @@ class ColumnOperators(BaseFrame):
         rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), cell(c).alias("v")) for k, c in enumerate(there)])
         long = self._df.select(*[q(c) for c in ids], F.explode(rows).alias("__cell"), *[F.col(k.name) for k in self._keys])
         new = self._with(long)._select([*[q(c) for c in ids], F.col("__cell.c").alias(variable), F.col("__cell.v").alias(value), F.col("__cell.k").alias("__place")])
-        place = new._df.withColumnRenamed("__place", f"__ord{len(new._keys)}")
-        from rowframe.operators.base import Key
+        place = new._df.withColumnRenamed("__place", f"{HIDDEN}{len(new._keys)}")
 
-        return new._with(place, [*new._keys, Key(f"__ord{len(new._keys)}")])
+        return new._with(place, [*new._keys, Key(f"{HIDDEN}{len(new._keys)}")])
