@@ -6,7 +6,9 @@ Procrustes problem, repeat); several independently started rotations are stacked
 value to rows. *Search.*  A code within Hamming radius r of the query's has, by the pigeonhole principle, a substring
 within floor(r / substrings) of the query's; those directory entries are probed, all codes within r kept, and the kept
 rows ranked by exact distance on the original vectors. r is set on the sample so that the sample's true neighbours
-fall inside it. Directories hold only values that occur, so a probe is a comparison with them rather than an enumeration
+fall inside it, and wider for a query whose own neighbours in the sample lie farther off, as far from all clusters.
+Queries that have fewer than k rows within it are searched again with all bits, where every row is within it.
+Directories hold only values that occur, so a probe is a comparison with them rather than an enumeration
 of all values within the radius, which at these radii would be most of the 65,536.
 
 *Distribution.*  Queries are taken in blocks of ``QUERY_BLOCK`` and broadcast (a proven size); index rows stream through
@@ -18,18 +20,21 @@ their ids, so a vector that a third of all rows share costs no more than others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowframe.llm.durable import durable
 from rowframe.ship import ship
 
 #: Bits of a code, bits of a substring, rows of the fitting sample, queries of a broadcast, rows of a chunk.
 BITS, SUBSTRING, SAMPLE, QUERY_BLOCK, CHUNK = 128, 16, 4096, 2048, 8192
 #: Share of the sample's true neighbours that the radius has to take in.
 SAMPLE_RECALL = 0.99
+RANKED = "query_id long, rank int, vec_id long, score double"
 
 
 def _rotation(x: np.ndarray, seed: int, rounds: int = 15) -> np.ndarray:
@@ -62,6 +67,16 @@ class Codes:
             bits = np.hstack([bits, np.zeros((len(bits), 1), np.uint8)])
         return np.ascontiguousarray(bits).view(np.uint16)
 
+    def reach(self, x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+        """The radius for each vector: the fitted one, or wider if a neighbour of its own in the sample is not inside."""
+        out, codes = np.full(len(x), self.radius), self.code(sample)
+        for lo in range(0, len(x), 256):
+            part = x[lo : lo + 256]
+            near = np.argsort(_distances(part, sample), axis=1)[:, : k + 1]
+            own = np.bitwise_count(self.code(part)[:, None, :] ^ codes[near]).sum(axis=2).max(axis=1)
+            out[lo : lo + 256] = np.maximum(out[lo : lo + 256], own)
+        return out
+
     def _fit_radius(self, sample: np.ndarray, k: int, recall: float) -> int:
         probes = sample[: min(256, len(sample))]
         far = _distances(probes, sample)
@@ -105,20 +120,20 @@ class _Best:
         self.found[q] = (d[order], i[order])
 
 
-def _search_chunk(codes: Codes, q_ids, q_vecs, q_codes, ids, x, best: _Best, offset: int) -> None:
+def _search_chunk(codes: Codes, q_ids, q_vecs, q_codes, radii, ids, x, best: _Best, offset: int) -> None:
     """Probe this chunk's directories for each query, keep codes within the radius, rank by exact distance."""
     own = codes.code(x)
     directories = []
     for part in range(own.shape[1]):
         values, rows = np.unique(own[:, part], return_inverse=True)
         directories.append((values, rows))
-    reach = codes.radius // max(1, own.shape[1])
     for q in range(len(q_ids)):
+        reach = radii[q] // max(1, own.shape[1])
         near = np.zeros(len(ids), bool)
         for part, (values, rows) in enumerate(directories):
             near |= (np.bitwise_count(values ^ q_codes[q, part]) <= reach)[rows]
         at = np.flatnonzero(near)
-        at = at[np.bitwise_count(own[at] ^ q_codes[q]).sum(axis=1) <= codes.radius]
+        at = at[np.bitwise_count(own[at] ^ q_codes[q]).sum(axis=1) <= radii[q]]
         at = at[ids[at] != q_ids[q]]
         if len(at):
             best.add(offset + q, np.sqrt(((x[at] - q_vecs[q]) ** 2).sum(axis=1)), ids[at])
@@ -128,8 +143,8 @@ def _searcher(shared, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, queries = shared.value
         groups, at = {}, 0
-        for n, (q_ids, q_vecs) in queries.items():
-            groups[n] = (at, q_ids, q_vecs, models[n].code(q_vecs))
+        for n, (q_ids, q_vecs, radii) in queries.items():
+            groups[n] = (at, q_ids, q_vecs, models[n].code(q_vecs), radii)
             at += len(q_ids)
         best = _Best(at, k)
         for batch in batches:
@@ -138,8 +153,8 @@ def _searcher(shared, k: int):
                 all_ids = part.column(0).to_numpy(zero_copy_only=False)
                 for n, (rows, x) in _matrix(part.column(1)).items():
                     if n in groups:
-                        offset, q_ids, q_vecs, q_codes = groups[n]
-                        _search_chunk(models[n], q_ids, q_vecs, q_codes, all_ids[rows], x, best, offset)
+                        offset, q_ids, q_vecs, q_codes, radii = groups[n]
+                        _search_chunk(models[n], q_ids, q_vecs, q_codes, radii, all_ids[rows], x, best, offset)
         names = np.concatenate([g[1] for g in groups.values()]) if groups else np.zeros(0, np.int64)
         for q, (d, i) in zip(names.tolist(), best.found, strict=True):
             if len(d):
@@ -162,18 +177,39 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_column: str = "vec_id"
     sample = {n: x for n, (_, x) in _matrix(rows["embedding"]).items()}
     queries = base.where(is_query)
     n_queries = queries.count()
-    results = None
+    results = []
     for block in range(max(1, -(-n_queries // QUERY_BLOCK))):
         own = queries if n_queries <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(-(-n_queries // QUERY_BLOCK))) == block)
         table = own.toArrow()
         ids = table["vec_id"].to_numpy()
         asked = {n: (ids[at], x) for n, (at, x) in _matrix(table["embedding"]).items()}
         models = {n: Codes(sample[n] if n in sample else x, k) for n, (_, x) in asked.items()}
+        asked = {n: (own_ids, x, models[n].reach(x, sample.get(n, x), k)) for n, (own_ids, x) in asked.items()}
+        results += _ranked(base, models, asked, k)
+    return reduce(DataFrame.unionAll, results) if results else spark.createDataFrame([], RANKED)
+
+
+def _ranked(base: DataFrame, models: dict[int, Codes], asked: dict, k: int) -> list[DataFrame]:
+    """The ranked rows of a block's queries; those that have fewer than k are searched with all bits instead."""
+    spark, out = base.sparkSession, []
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    while asked:
         shared = spark.sparkContext.broadcast((models, asked))
         found = base.mapInArrow(_searcher(shared, k), "query_id long, vec_id long, score double")
-        results = found if results is None else results.unionAll(found)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = durable(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        full = found.where(F.col("rank") == k).select("query_id").toArrow()["query_id"].to_numpy()
+        short = {}
+        for n, (ids, x, radii) in asked.items():
+            bits = models[n].turns.shape[1]
+            left = ~np.isin(ids, full) & (radii < bits)
+            if left.any():
+                short[n] = (ids[left], x[left], np.full(left.sum(), bits))
+        asked = short
+        if asked:
+            again = spark.createDataFrame(pa.table({"query_id": np.concatenate([ids for ids, _, _ in asked.values()])}))
+            found = found.join(F.broadcast(again), "query_id", "left_anti").select(found.columns)
+        out.append(found)
+    return out
 
 
 def op1_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -64,6 +64,34 @@ def test_neighbours_odd_cases(spark):
     assert ann.nearest(df.where("vec_id = 100"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sigma", [0.1, 0.3])
+def test_neighbours_of_isolated_queries(spark, sigma):
+    rng = np.random.default_rng(5)
+    middles = rng.standard_normal((200, 64))
+    x = np.vstack([middles[np.arange(19900) % 200] + sigma * rng.standard_normal((19900, 64)), rng.standard_normal((100, 64))])
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    alone = ids[-50:].tolist()
+    found = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id").isin(alone + list(range(0, 19900, 100)))).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == {*alone, *range(0, 19900, 100)}
+    hits = 0
+    for q, own in found.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [k for k, _, _ in own] == list(range(1, 11)) and all(abs(s - d[v]) < 1e-9 for _, v, s in own)
+        hits += len({v for _, v, _ in own} & set(np.argsort(d)[:10].tolist())) if q in alone else 0
+    assert hits / 500 >= 0.9
+
+
+def test_neighbours_beyond_the_radius_are_searched_again(spark):
+    x = np.random.default_rng(6).standard_normal((500, 24))
+    base = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann._ranked(base, {24: ann.Codes(x, 10)}, {24: (np.arange(3), x[:3], np.zeros(3, np.int64))}, 10)
+    assert len(found) == 2 and Counter(r["query_id"] for f in found for r in f.collect()) == {0: 10, 1: 10, 2: 10}
+
+
 # ------------------------------------------------------------------------------------------------ 2 substring dedup
 
 
