@@ -362,6 +362,45 @@ def merge_customers(spark, sf_dir):
     return a.merge_with(b, "c_custkey").df
 
 
+_WHOLE_JOIN_SQL = (
+    "SELECT o_orderkey, c_custkey, {} FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS buyer FROM orders) "
+    "{} JOIN (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS account FROM customer) ON buyer = account"
+)
+
+
+def _whole_sides(spark, sf_dir):
+    """Every order and every customer; some keys of either side are moved away from all of the other's."""
+    orders = _t(spark, sf_dir, "orders").add_column("buyer", lambda r: F.when(r.o_orderkey % 3 == 0, -r.o_custkey).otherwise(r.o_custkey))
+    return orders, _t(spark, sf_dir, "customer").add_column("account", lambda r: F.when(r.c_custkey % 5 == 0, r.c_custkey + 1000000000).otherwise(r.c_custkey))
+
+
+def _whole_join(how: str) -> Query:
+    def run(spark, sf_dir):
+        orders, customers = _whole_sides(spark, sf_dir)
+        return orders.join(customers, "buyer", "account", how).df.select("o_orderkey", "c_custkey", "o_totalprice")
+
+    run.__name__ = f"join_{how}_whole"
+    return run
+
+
+for _how in ("inner", "left", "right", "outer"):
+    query(_WHOLE_JOIN_SQL.format("o_totalprice", "FULL" if _how == "outer" else _how.upper()))(_whole_join(_how))
+
+
+@query(_WHOLE_JOIN_SQL.format("coalesce(c_name, 'nobody') AS who", "LEFT"))
+def join_with_selection_whole(spark, sf_dir):
+    orders, customers = _whole_sides(spark, sf_dir)
+    return orders.join(customers, "buyer", "account", "left", lambda left, right: {"o_orderkey": left.o_orderkey, "c_custkey": right.c_custkey, "who": F.coalesce(right.c_name, F.lit("nobody"))}).df
+
+
+@query("SELECT coalesce(a.c_custkey, b.k) AS k, a.c_acctbal AS bal, b.c_nationkey AS nation FROM customer a FULL JOIN (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k FROM customer) b ON a.c_custkey = b.k")
+def merge_customers_whole(spark, sf_dir):
+    f = _t(spark, sf_dir, "customer")
+    a = f.transform(lambda r: {"k": r.c_custkey, "bal": r.c_acctbal})
+    b = f.transform(lambda r: {"k": F.when(r.c_custkey % 3 == 0, -r.c_custkey).otherwise(r.c_custkey), "nation": r.c_nationkey})
+    return a.merge_with(b, "k").df
+
+
 @query("""
 WITH a AS (SELECT c_nationkey AS k, c_custkey AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
      b AS (SELECT s_nationkey AS k, s_suppkey AS y, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)

@@ -52,3 +52,19 @@ def test_shuffles_carry_little(spark):
     assert dedup.index("Final") < dedup.index("Exchange") < dedup.index("Partial") and "WindowGroupLimit" in dedup
     assert "TakeOrderedAndProject" in plan("tail_events") and "Exchange rangepartitioning" not in plan("tail_events")
     assert "partial_count" in plan("group_by_role") and "partial_max_by" in plan("pivot_status")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_joins_take_whole_tables(spark, how):
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    orders, customers = ({r[0] for r in read(t).select(c).collect()} for t, c in (("orders", "o_orderkey"), ("customer", "c_custkey")))
+    rows = catalog.QUERIES[f"join_{how}_whole"](spark, SF).collect()
+    met = [r for r in rows if r["o_orderkey"] is not None and r["c_custkey"] is not None]
+    assert any(r["o_orderkey"] % 3 for r in met) and any(r["c_custkey"] % 2 for r in met)
+    assert how not in ("left", "outer") or {r["o_orderkey"] for r in rows} - {None} == orders
+    assert how not in ("right", "outer") or {r["c_custkey"] for r in rows} - {None} == customers
+
+
+def test_merge_takes_whole_tables(spark):
+    customers = {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
+    assert {r["k"] for r in catalog.QUERIES["merge_customers_whole"](spark, SF).collect()} == customers | {-k for k in customers if k % 3 == 0}
