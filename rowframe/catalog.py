@@ -291,6 +291,12 @@ def similar_parts(spark, sf_dir):
     return found.select(F.col("row.p_partkey").alias("p_partkey"), "dist")
 
 
+@query("SELECT p_partkey, CAST(levenshtein(p_name, 'red widget') AS INTEGER) AS dist, row_number() OVER (ORDER BY dist, p_partkey) - 1 AS index FROM part")
+def similar_parts_whole(spark, sf_dir):
+    found = _t(spark, sf_dir, "part").find_similar_rows("red widget", "p_name").with_row_index().df
+    return found.select(F.col("row.p_partkey").alias("p_partkey"), "dist", "index")
+
+
 @query("SELECT p_partkey FROM part ORDER BY levenshtein(p_name, 'blue bolt'), p_partkey LIMIT 1")
 def most_similar_part(spark, sf_dir):
     return _one(spark, p_partkey=_t(spark, sf_dir, "part").find_most_similar_row("blue bolt", "p_name")["row"]["p_partkey"])
@@ -436,6 +442,27 @@ def sort_by_key_callback(spark, sf_dir):
     return _t(spark, sf_dir, "customer").sort_by_async(lambda r: F.abs(r.c_acctbal)).head(30).with_row_index().df.select("c_custkey", "index")
 
 
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS index FROM customer")
+def sort_numbers_descending_whole(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").sort_by("c_acctbal", "desc").with_row_index().df.select("c_custkey", "index")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS index FROM part")
+def sort_texts_whole(spark, sf_dir):
+    return _t(spark, sf_dir, "part").sort_by("p_name").with_row_index().df.select("p_partkey", "index")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY v NULLS FIRST, event_id) - 1 AS index FROM (SELECT event_id, CASE WHEN event_id % 500 <> 0 THEN value END AS v FROM events)")
+def sort_nulls_first_whole(spark, sf_dir):
+    f = _t(spark, sf_dir, "events").transform(lambda r: {"event_id": r.event_id, "v": F.when(r.event_id % 500 != 0, r.value)})
+    return f.sort_by_async("v").with_row_index().df.select("event_id", "index")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY abs(c_acctbal), c_custkey) - 1 AS index FROM customer")
+def sort_by_key_callback_whole(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").sort_by_async(lambda r: F.abs(r.c_acctbal)).with_row_index().df.select("c_custkey", "index")
+
+
 @query("SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 25")
 def head_events(spark, sf_dir):
     return _t(spark, sf_dir, "events").head(25).df.select("event_id", "event_type")

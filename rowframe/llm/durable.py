@@ -1,18 +1,5 @@
 """Cutting lineage by files that outlive executors."""
 
-from __future__ import annotations
+from rowframe.durable import durable
 
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's checkpoint folder.
-
-    The folder is the session's spark.checkpoint.dir. Only where none is set, as in tests, a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+__all__ = ["durable"]

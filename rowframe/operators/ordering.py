@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowframe.durable import durable
 from rowframe.functions import coerce as C
 from rowframe.operators.base import HIDDEN, Key, PyFn
 from rowframe.operators.columns import q
@@ -68,9 +69,13 @@ class OrderOperators(GroupOperators):
         return self._with(self._df.orderBy(F.rand() if seed is None else F.rand(seed)).limit(n) if n > 0 else self._df.limit(0))
 
     def with_row_index(self, name: str = "index"):
-        """Each row's place (from 0) as a column, by range partitions and the counts before them: no single-task window."""
+        """Each row's place (from 0) as a column, by range partitions and the counts before them: no single-task window.
+
+        The sorted rows are kept in a checkpoint, as counts and places have to be of the same partitions: a second run
+        of the sort may cut its ranges elsewhere.
+        """
         sorted_df = self._df.orderBy(*self.order) if self._keys else self._df
-        placed = sorted_df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+        placed = durable(sorted_df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
         sizes = {r["__p"]: r["count"] for r in placed.groupBy("__p").count().collect()}
         before, total = {}, 0
         for p in sorted(sizes):

@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rowframe import catalog
+from rowframe.frame import Frame
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -68,3 +70,23 @@ def test_joins_take_whole_tables(spark, how):
 def test_merge_takes_whole_tables(spark):
     customers = {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
     assert {r["k"] for r in catalog.QUERIES["merge_customers_whole"](spark, SF).collect()} == customers | {-k for k in customers if k % 3 == 0}
+
+
+@pytest.mark.parametrize("name, table", [("sort_numbers_descending", "customer"), ("sort_texts", "part"), ("sort_nulls_first", "events"), ("sort_by_key_callback", "customer"), ("similar_parts", "part")])
+def test_sorts_rank_whole_tables(spark, name, table):
+    ranks = sorted(r["index"] for r in catalog.QUERIES[f"{name}_whole"](spark, SF).collect())
+    assert ranks == list(range(spark.read.parquet(f"{SF}/{table}.parquet").count()))
+
+
+def test_row_index_of_many_rows(spark, tmp_path):
+    """So many that a second run of the sort gives other partitions."""
+    rows = 4000000
+    spark.range(rows).select("id", F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("pad")).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = Frame.from_parquet(spark, str(tmp_path / "t"), "id").sort_by("v").with_row_index().df
+        got = df.agg(F.countDistinct("index").alias("n"), F.min("index").alias("lo"), F.max("index").alias("hi"), F.max("pad")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (got["n"], got["lo"], got["hi"]) == (rows, 0, rows - 1)
