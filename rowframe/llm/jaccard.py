@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowframe.llm import blocks as B
@@ -200,32 +200,38 @@ def _verify(width: int, threshold: Fraction):
     return verify
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies: one row for each row of ``docs``.
+FAR = (1 << 63) - 1
 
-    class_id is the least id of the group that links and equality connect; n_links counts the other distinct texts of
-    similarity >= threshold, n_copies the other rows of equal text. A null or wordless text is a class of its own. A null
-    id counts as the largest one (and shows as null). Other columns are left behind.
+
+def _digested(id_column: str, text_column: str) -> tuple[Column, Column]:
+    """A row's id (a null one is the largest) and its text's digest."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(FAR)), F.unhex(F.md5(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")))
+
+
+def _classes(docs: DataFrame, id_column: str, text_column: str, width: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc, digest: null if wordless), and the distinct texts: digest, rep (least id), copies, n_links, group, first.
+
+    Within the forest, components and tiles a text goes by a hash of its digest, so texts that share an id stay apart.
+    group is the least such hash of the texts that links connect; first is its text of the least id (rep, digest).
     """
     ship(docs.sparkSession)
-    far = (1 << 63) - 1
     depth = cut_depth(threshold)
     n_buckets = B.block_counts(docs.count())[1]
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(far)).alias("doc"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+    doc, digest = _digested(id_column, text_column)
+    base = docs.select(doc.alias("doc"), digest.alias("digest"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     signed = durable(base.mapInArrow(_sign(width, TREES, depth), "doc long, digest binary, signature binary"))
-    classes = durable(signed.where("signature IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
-    sent = durable(classes.select("rep", "signature").mapInArrow(_meet_in_batch(TREES, n_buckets), _SENT))
+    classes = durable(signed.where("signature IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")).withColumn("node", F.xxhash64("digest")))
+    sent = durable(classes.select("node", "signature").mapInArrow(_meet_in_batch(TREES, n_buckets), _SENT))
     here = sent.where("bucket = -1").select("payload").mapInArrow(_unpack_edges, "a long, b long")
     across = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet_in_bucket, "a long, b long")
     groups = components(here.unionAll(across))
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     members = groups.join(sizes, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    own = members.join(classes.select(F.col("rep").alias("node"), "digest"), "node")
+    own = members.join(classes.select("node", F.col("rep").alias("doc"), "digest"), "node")
     meet = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("tile_a"), F.greatest(t, F.col("tile")).alias("tile_b")))
-    texts = base.join(own.select(F.col("node").alias("doc"), "digest", "root", "tile", "tiles"), ["doc", "digest"])
-    tiled = texts.select("doc", "root", "tile", "tiles", "text", F.explode(meet).alias("m")).select("doc", "root", "tile", "tiles", "text", "m.tile_a", "m.tile_b")
+    texts = base.join(own.select("node", "doc", "digest", "root", "tile", "tiles"), ["doc", "digest"])
+    tiled = texts.select(F.col("node").alias("doc"), "root", "tile", "tiles", "text", F.explode(meet).alias("m")).select("doc", "root", "tile", "tiles", "text", "m.tile_a", "m.tile_b")
     checked = durable(tiled.groupBy("root", "tile_a", "tile_b").applyInArrow(_verify(width, threshold), "node long, links long, label long, whole boolean"))
 
     done = checked.where("whole").select("node", "links", "label")
@@ -234,19 +240,42 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         roots = components(split.select(F.col("node").alias("a"), F.col("label").alias("b")))
         links = split.groupBy("node").agg(F.sum("links").alias("links"))
         done = done.unionAll(links.join(roots, "node", "left").select("node", "links", F.coalesce("root", "node").alias("label")))
-    labelled = durable(classes.select("digest", F.col("rep").alias("node"), "copies").join(done, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("copies") - 1).alias("n_copies")))
-    rows = signed.select("doc", F.when(F.col("signature").isNotNull(), F.col("digest")).alias("digest")).join(labelled, "digest", "left")
-    shown = lambda c: F.when(c < far, c)
+    found = durable(classes.select("digest", "node", "rep", "copies").join(done, "node", "left").select("digest", "rep", "copies", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("label", "node").alias("group")))
+    first = found.groupBy("group").agg(F.min(F.struct("rep", "digest")).alias("first"))
+    return signed.select("doc", F.when(F.col("signature").isNotNull(), F.col("digest")).alias("digest"), F.col("digest").alias("whole_digest")), durable(found.join(first, "group"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies: one row for each row of ``docs``.
+
+    class_id is the least id of the group that links and equality connect; n_links counts the other distinct texts of
+    similarity >= threshold, n_copies the other rows of equal text. A null or wordless text is a class of its own. A null
+    id counts as the largest one (and shows as null). Other columns are left behind.
+    """
+    signed, classes = _classes(docs, id_column, text_column, width, threshold)
+    rows = signed.join(classes.select("digest", F.col("first.rep").alias("class_id"), "n_links", (F.col("copies") - 1).alias("n_copies")), "digest", "left")
+    shown = lambda c: F.when(c < FAR, c)
     return rows.select(shown(F.col("doc")).alias("doc_id"), shown(F.coalesce("class_id", "doc")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: the one of the least id, with the columns it came with."""
-    found = near_duplicates(docs)
-    kept = durable(found.where("doc_id IS NULL OR doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("__rows")))
-    stays = docs.join(kept.select("doc_id"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    if kept.where("doc_id IS NOT NULL AND __rows > 1").limit(1).count():
-        stays = stays.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(stays.where("doc_id IS NULL"))
+    """One document of each near-duplicate group, with the columns it came with; wordless rows all stay.
+
+    It is the one of the least id, of an id that no other text has if there is one.
+    """
+    signed, classes = _classes(docs, "doc_id", "text", SHINGLE, THRESHOLD)
+    best = classes.where("digest = first.digest").select(F.col("rep").alias("doc"), "digest")
+    shared = durable(signed.groupBy("doc").agg((F.min("whole_digest") < F.max("whole_digest")).alias("shared")).where("shared"))
+    if shared.limit(1).count():
+        own = signed.where("digest IS NOT NULL").join(shared, "doc", "left").join(classes.select("digest", "group"), "digest")
+        best = own.groupBy("group").agg(F.min(F.struct(F.coalesce("shared", F.lit(False)), "doc", "digest")).alias("b")).select("b.doc", "b.digest")
+    kept = durable(signed.where("digest IS NOT NULL").join(best, ["doc", "digest"]).groupBy("doc", "digest").agg(F.count("*").alias("rows")))
+    bare = signed.where("digest IS NULL").select("doc", F.col("whole_digest").alias("digest")).distinct()
+    keys = kept.select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"), F.lit(False).alias("__bare")).unionAll(bare.select("doc", "digest", F.lit(True)))
+    doc, digest = _digested("doc_id", "text")
+    stays = docs.withColumns({"__doc": doc, "__digest": digest}).join(keys, ["__doc", "__digest"])
+    if kept.where("rows > 1").limit(1).count():
+        stays = stays.where("NOT __bare").dropDuplicates(["__doc", "__digest"]).unionByName(stays.where("__bare"))
     return stays.select(*docs.columns)
 
 

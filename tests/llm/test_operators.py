@@ -391,6 +391,18 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, tile):
     assert jaccard.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    rng = random.Random(8)
+    words = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(4)]
+    a, b, c, d = (" ".join(w) for w in words)
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, c), (20, a + " end"), (21, b + " end"), (22, d + " end")]
+    got = jaccard.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in got), key=str) == brute_links(rows)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(docs_of(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(7, c), (22, d + " end"), (20, a + " end"), (21, b + " end")], key=str)
+
+
+
 def test_depth_meets_the_recall():
     d = jaccard.cut_depth()
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
