@@ -224,15 +224,15 @@ def cut_spans(text: Column, spans: Column) -> Column:
     return F.array_join(kept, "")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, min_span: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5) -> DataFrame:
     """Documents without benchmark passages, with the columns they came with.
 
-    Spans of at least ``min_span`` hit words are cut out of the text (n_chars follows); a document whose hit words make
-    more than ``max_coverage`` of its words is dropped. Documents without hits stay as they are.
+    Every span of hit words (whole windows, or whole items that are shorter) is cut out of the text (n_chars follows); a
+    document whose hit words make more than ``max_coverage`` of its words is dropped. Documents without hits stay as they
+    are.
     """
     leaks = find_leaks(docs, items)
-    long_spans = F.filter("hit_spans", lambda s: s["words"] >= min_span)
-    kept = leaks.where((F.col("n_hit") <= max_coverage * F.col("n_words")) | (F.col("n_hit") == 0)).withColumn("__spans", long_spans)
+    kept = leaks.where((F.col("n_hit") <= max_coverage * F.col("n_words")) | (F.col("n_hit") == 0)).withColumn("__spans", F.col("hit_spans"))
     changed = F.size("__spans") > 0
     cleaned = kept.withColumn("text", F.when(changed, cut_spans(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -198,6 +198,15 @@ def test_cutting_leaks_out(spark):
     assert out[2]["text"] == rows[1][1]
 
 
+def test_cutting_short_items_out(spark):
+    item = "alpha beta gamma delta"
+    rows = [(1, f"Before {item.title()}! after " + "word " * 40), (2, "alpha beta gamma stays " * 3), (3, item)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r for r in decontam.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(out) == {1, 2} and out[1]["text"] == "Before ! after " + "word " * 40 and out[1]["n_chars"] == len(out[1]["text"])
+    assert out[2]["text"] == rows[1][1]
+
+
 # ------------------------------------------------------------------------------------------------------------- 4 PII
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
