@@ -351,7 +351,8 @@ def test_extraction_odd_cases(spark):
 # ------------------------------------------------------------------------------------------------ 8 near duplicates
 
 
-def brute_links(rows):
+def brute_links(rows, listed=False):
+    """All links by comparing every two texts, or (listed) every two texts that share a shingle."""
     texts = defaultdict(list)
     for i, t in rows:
         texts[t or ""].append((1 << 63) - 1 if i is None else i)
@@ -367,8 +368,12 @@ def brute_links(rows):
         return t
 
     names = list(texts)
+    holders = defaultdict(list)
     for k, a in enumerate(names):
-        for b in names[:k]:
+        common = Counter(b for g in sets[a] for b in holders[g]) if listed else None
+        for g in sets[a] if listed else ():
+            holders[g].append(a)
+        for b in common if listed else names[:k]:
             both = len(sets[a] & sets[b])
             if both and Fraction(both, len(sets[a] | sets[b])) >= Fraction(4, 5):
                 links[a] += 1
@@ -414,7 +419,35 @@ def test_near_duplicates_of_shared_ids(spark):
 
 def test_depth_meets_the_recall():
     d = jaccard.cut_depth()
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+    assert jaccard.met(0.8, d) >= jaccard.RECALL > jaccard.met(0.8, d + 1)
+    near, far = np.zeros(jaccard.BINS), np.zeros(jaccard.BINS)
+    near[-1] = far[0] = 1000
+    assert jaccard.next_depth(near, jaccard.DEEPEST, Fraction(4, 5)) == jaccard.DEEPEST
+    assert jaccard.next_depth(far, jaccard.DEEPEST, Fraction(4, 5)) == d == jaccard.next_depth(far * 0, jaccard.DEEPEST, Fraction(4, 5))
+
+
+def test_large_groups_count_their_links_through_the_centre(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 4096)
+    rng = random.Random(13)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    base, rows = [rng.choice(vocabulary) for _ in range(120)], []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 3 if k % 3 else 9)):
+            w[rng.randrange(120)] = rng.choice(vocabulary)
+        rows.append((k, " ".join(w)))
+    got = jaccard.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in got), key=str) == brute_links(rows)
+
+
+def test_recall_of_links_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    expected = brute_links([(r["doc_id"], r["text"]) for r in docs.collect()], listed=True)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.op8_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
+    assert sum(got[i][1] for i, _, _, _ in expected) >= 0.99 * sum(n for _, _, n, _ in expected) > 0
+    assert sum(got[i][0] == c for i, c, _, _ in expected) >= 0.99 * len(expected)
+    assert all(got[i][1] <= n and got[i][2] == k for i, _, n, k in expected)
 
 
 def test_components(spark):
