@@ -7,9 +7,9 @@ depth d with probability 1 - (1 - s^d)^TREES. The join starts at the deepest pre
 verifies what meets, and weighs every link by its chance of having been met: that says how much of all links the depth
 gives. While it is less than ``RECALL``, prefixes are shortened to the longest at which it should be enough, and at
 ``CUT`` at the last, where even a pair at the threshold is met with that probability.
-*Candidates.*  Classes under one trie node belong together. A sender joins its own members of a node and sends only its
-least one on, so a node that a third of all classes hold costs one entry a sender; nodes give star edges, whose connected
-components are the candidate groups. No pairs are emitted.
+*Candidates.*  Classes under one trie node belong together. A sender connects what meets among its own classes and sends
+one class of a node on, so a node that a third of all classes hold costs one entry a sender; senders and buckets of nodes
+give forests of edges, whose connected components are the candidate groups. No pairs are emitted.
 *Verification.*  A group of at most ``TILE`` classes meets in one task, and its exact similarities come from one matrix of
 intersection counts. Of a larger group every class meets only the group's centre, in tiles that each have a copy of the
 centre's text; what goes on is the class's difference from the centre. With R the centre, a = |R - A|, x = |A - R|
@@ -147,23 +147,27 @@ def node_keys(signatures: np.ndarray, depth: int) -> np.ndarray:
     return key
 
 
-def _stars(keys: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the least member of each, and the edges (member, least) of all others."""
-    order = np.lexsort((member, keys))
+def _joined(keys: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the least node connected with each, and edges (node, that least node) of all other nodes.
+
+    Members of one key are connected, and so are keys with a member in common.
+    """
+    order = np.argsort(keys, kind="stable")
     keys, member = keys[order], member[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    least = np.repeat(member[first], np.diff(np.append(first, len(keys))))
-    other = member != least
-    return keys[first], member[first], np.unique(np.stack((member[other], least[other])), axis=1)
+    first, size = _runs(keys)
+    nodes, own = np.unique(member, return_inverse=True)
+    label = least_connected(len(nodes), own, np.repeat(own[first], size))
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return keys[first], nodes[label[own[first]]], np.stack((nodes[far], nodes[label[far]]))
 
 
 def _meet_at_sender(depth: int, n_buckets: int):
-    """Joins members of a trie node within a sender's rows; sends each node's least member to the node's bucket."""
+    """Connects members of trie nodes within a sender's rows; sends to a node's bucket the least it is connected with."""
 
     def send(nodes: list[np.ndarray], signatures: list[bytes]) -> pa.RecordBatch:
         values = np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, TREES, DEEPEST)
         keys = node_keys(values, depth)
-        keys, least, edges = _stars(keys.ravel(), np.repeat(np.concatenate(nodes), TREES))
+        keys, least, edges = _joined(keys.ravel(), np.repeat(np.concatenate(nodes), TREES))
         buckets, cuts = B.bucket_cuts(keys, n_buckets)
         payloads = [edges.tobytes()] + [keys[a:b].tobytes() + least[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([-1, *buckets.tolist()], pa.int32()), pa.array(payloads, pa.binary())], names=["bucket", "payload"])
@@ -185,7 +189,7 @@ def _meet_at_sender(depth: int, n_buckets: int):
 
 def _meet_in_bucket(rows: pa.Table) -> pa.Table:
     parts = rows["payload"].to_pylist()
-    _, _, edges = _stars(*B.unpacked(parts, [len(p) // 16 for p in parts], np.uint64, np.int64))
+    _, _, edges = _joined(*B.unpacked(parts, [len(p) // 16 for p in parts], np.uint64, np.int64))
     return pa.table({"a": pa.array(edges[0]), "b": pa.array(edges[1])})
 
 
@@ -196,13 +200,31 @@ def _unpack_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
 
 
+def least_connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of each one's component, for edges between the numbers a and b below n."""
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        np.minimum.at(least, label, least.copy())
+        while True:
+            jumped = least[least]
+            if (jumped == least).all():
+                break
+            least = jumped
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _candidate_groups(classes: DataFrame, n_classes: int, depth: int) -> DataFrame:
     """node, root: the classes that meet another under a node of that depth, by the least of their component."""
     n_buckets = int(min(BUCKETS_MOST, max(16, n_classes * TREES // BUCKET_NODES)))
     sent = durable(classes.select("node", "signature").mapInArrow(_meet_at_sender(depth, n_buckets), _SENT))
     here = sent.where("bucket = -1").select("payload").mapInArrow(_unpack_edges, "a long, b long")
     across = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet_in_bucket, "a long, b long")
-    return components(here.unionAll(across))
+    return components(here.unionAll(across), n_classes)
 
 
 # ------------------------------------------------------------------------------------------------- exact verification
@@ -260,18 +282,6 @@ def _shingle_sets(column, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owner)
 
 
-def _least_linked(linked: np.ndarray) -> np.ndarray:
-    """The least index of each one's component, for a symmetric matrix of links."""
-    n = len(linked)
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label, np.where(linked, label[None], n).min(axis=1, initial=n))
-        least = least[least]
-        if (least == label).all():
-            return label
-        label = least
-
-
 def _binned(similarity: np.ndarray, threshold: Fraction) -> np.ndarray:
     low = float(threshold)
     return np.bincount(np.clip(((similarity - low) / (1 - low) * BINS).astype(np.int64), 0, BINS - 1), minlength=BINS)
@@ -304,7 +314,7 @@ def _check(width: int, threshold: Fraction):
         a, b = np.nonzero(np.triu(linked))
         bins = _binned(shared[a, b] / (size[a] + size[b] - shared[a, b]), threshold)
         none = [None] * n
-        return pa.table([nodes, [root] * n, linked.sum(axis=1), nodes[_least_linked(linked)], none, none, none, none, none, none, [bins, *none[1:]]], schema=_CHECKED_ARROW)
+        return pa.table([nodes, [root] * n, linked.sum(axis=1), nodes[least_connected(n, a, b)], none, none, none, none, none, none, [bins, *none[1:]]], schema=_CHECKED_ARROW)
 
     def by_centre(nodes: np.ndarray, root: int, hashes: np.ndarray, owner: np.ndarray) -> pa.Table:
         """Differences of a tile's classes from the centre, which stands among them."""
@@ -397,15 +407,7 @@ def _compare(threshold: Fraction):
             links[b] += linked.sum(axis=0)
         x, y = np.nonzero(linked if left is not None else np.triu(linked))
         bins = _binned(shared[x, y] / (own[a][x] + own[b][y] - shared[x, y]), threshold)
-        label = np.arange(n)
-        while True:
-            least = label.copy()
-            np.minimum.at(least, a[x], label[b[y]])
-            np.minimum.at(least, b[y], label[a[x]])
-            least = least[least]
-            if (least == label).all():
-                break
-            label = least
+        label = least_connected(n, a[x], b[y])
         return pa.table([nodes, links, nodes[label], [bins, *[None] * (n - 1)]], schema=_COMPARED_ARROW)
 
     return compare
@@ -445,7 +447,7 @@ def _verified(base: DataFrame, classes: DataFrame, groups: DataFrame, width: int
     # a class within the bound of the centre, whose own u is 0, is linked with it
     edges = compared.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(placed.where("u <= bound").select(F.col("node").alias("a"), F.col("root").alias("b")))
     more = compared.groupBy("node").agg(F.sum("links").alias("more"))
-    linked = placed.select("node", "sure").join(more, "node", "left").join(components(edges), "node", "left")
+    linked = placed.select("node", "sure").join(more, "node", "left").join(components(edges, placed.count()), "node", "left")
     return done.unionAll(linked.select("node", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("root", "node").alias("label"))), found + _binned_links(compared)
 
 

@@ -452,7 +452,7 @@ def test_recall_of_links_on_the_tables(spark):
 
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7), (200, 150), (200, 160), (160, 170)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), 100).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, **dict.fromkeys((150, 160, 170, 200), 150)}
 
 
