@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rowframe.llm import text as X
 from rowframe.llm.durable import durable
-from rowframe.llm.rows import add_columns
+from rowframe.llm.rows import add_columns, brought_back, set_aside
 
 #: Words of a window, items from which a document counts as contaminated, bytes of items in one automaton, and automata
 #: that are broadcast at a time: together, a bound of the broadcast.
@@ -229,15 +229,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5)
 
     Every span of hit words (whole windows, or whole items that are shorter) is cut out of the text (n_chars follows); a
     document whose hit words make more than ``max_coverage`` of its words is dropped. Documents without hits stay as they
-    are.
+    are, null and empty texts too. Rows that repeat are handled each by itself; an empty table stays empty; columns of any
+    name pass unchanged.
     """
-    leaks = find_leaks(docs, items)
-    kept = leaks.where((F.col("n_hit") <= max_coverage * F.col("n_words")) | (F.col("n_hit") == 0)).withColumn("__spans", F.col("hit_spans"))
-    changed = F.size("__spans") > 0
-    cleaned = kept.withColumn("text", F.when(changed, cut_spans(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
+    leaks = find_leaks(set_aside(docs, "text"), items)
+    kept = leaks.where((F.col("n_hit") <= max_coverage * F.col("n_words")) | (F.col("n_hit") == 0))
+    changed = F.size("hit_spans") > 0
+    cut = kept.withColumn("text", F.when(changed, cut_spans(F.col("text").cast("string"), F.col("hit_spans"))).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__own.n_chars"))
+    return brought_back(cut, docs.columns, **new)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

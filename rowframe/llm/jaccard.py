@@ -34,6 +34,7 @@ from rowframe.llm import blocks as B
 from rowframe.llm import text as X
 from rowframe.llm.components import components
 from rowframe.llm.durable import durable
+from rowframe.llm.rows import brought_back, set_aside
 from rowframe.ship import ship
 
 #: Words of a shingle, threshold, trees, deepest prefix, share of all links aimed at.
@@ -457,10 +458,15 @@ def _verified(base: DataFrame, classes: DataFrame, groups: DataFrame, width: int
 FAR = (1 << 63) - 1
 
 
+def _keys(id_column: str, text_column: str) -> tuple[Column, Column, Column]:
+    """A row's id (a null one is the largest), its text's digest, and its text (null: empty)."""
+    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(FAR)), F.unhex(F.md5(text.cast("binary"))), text
+
+
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc (a null id is the largest), digest, text (null: empty) of each row."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(FAR)).alias("doc"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+    """doc, digest, text of each row."""
+    return docs.select(*[c.alias(n) for c, n in zip(_keys(id_column, text_column), ("doc", "digest", "text"), strict=True)])
 
 
 def _wordy(text: Column) -> Column:
@@ -519,13 +525,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
         best = own.groupBy("group").agg(F.min(F.struct(F.coalesce("shared", F.lit(False)), "doc", "digest")).alias("b")).select("b.doc", "b.digest")
     kept = durable(rows.where("wordy").join(best, ["doc", "digest"]).groupBy("doc", "digest").agg(F.count("*").alias("rows")))
     bare = rows.where("NOT wordy").select("doc", "digest").distinct()
-    keys = kept.select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"), F.lit(False).alias("__bare")).unionAll(bare.select("doc", "digest", F.lit(True)))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(FAR)), "__digest": F.unhex(F.md5(text.cast("binary")))})
-    stays = named.join(keys, ["__doc", "__digest"])
+    keys = kept.select("doc", "digest", F.lit(False).alias("bare")).unionAll(bare.select("doc", "digest", F.lit(True)))
+    doc, digest, _ = _keys("doc_id", "text")
+    stays = set_aside(docs, "doc_id", "text").select(doc.alias("doc"), digest.alias("digest"), "__own").join(keys, ["doc", "digest"])
     if kept.where("rows > 1").limit(1).count():
-        stays = stays.where("NOT __bare").dropDuplicates(["__doc", "__digest"]).unionByName(stays.where("__bare"))
-    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
+        stays = stays.where("NOT bare").dropDuplicates(["doc", "digest"]).unionByName(stays.where("bare"))
+    return brought_back(stays, docs.columns)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

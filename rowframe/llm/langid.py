@@ -3,11 +3,13 @@
 Two GRUs read a text's bytes from the left and from the right; at every byte a softmax over their states labels the
 language, and a document's probabilities are the mean over its bytes. Training is backpropagation through time in
 numpy (Adam) on a bounded, stratified sample of labelled rows. Prediction reads whole texts, in stretches of
-``STRETCH`` bytes side by side; the states start anew in each.
+``STRETCH`` bytes side by side; the states start anew in each. A network may also learn what is no language: a label of
+its own for generated noise (random letters, codes, numbers, signs, scripts that no sample has).
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -22,8 +24,12 @@ from rowframe.llm.rows import add_columns
 HIDDEN, STRETCH, LANES = 8, 128, 2048
 #: Labelled rows of a language that training sees, characters of each (from a hashed place), and its course.
 SAMPLE_ROWS, SAMPLE_CHARS, STEPS, BATCH, TRAIN_BYTES, RATE = 400, 400, 160, 96, 48, 0.02
-#: What is said of texts without a letter.
+#: What is said of texts without a letter, or of noise.
 UNKNOWN = "und"
+#: Generated texts of noise, and the share of a text's bytes from which it counts as noise.
+NOISE_TEXTS, NOISE_SHARE = 400, 0.8
+#: Code points of letters of several scripts: first and number.
+_SCRIPTS = ((0x0391, 57), (0x0410, 64), (0x05D0, 27), (0x0627, 36), (0x0905, 53), (0x0E01, 46), (0x3041, 83), (0x4E00, 6000), (0xAC00, 6000))
 
 
 class Gru:
@@ -72,11 +78,33 @@ def run_back(gru: Gru, codes: np.ndarray, trace: list[tuple], grad_states: np.nd
     return grad_table, grad_across
 
 
+def noise_texts(samples: list[str], n: int = NOISE_TEXTS, seed: int = 17) -> list[str]:
+    """Texts without a language; letters are of scripts that the samples have none of, or in no order."""
+    rng = random.Random(seed)
+    held = {c for s in samples for c in s}
+    free = [[chr(a + k) for k in range(size)] for a, size in _SCRIPTS]
+    free = [letters for letters in free if not held.intersection(letters)]
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda letters, lo, hi: "".join(rng.choice(letters) for _ in range(rng.randint(lo, hi)))
+    kinds = [
+        lambda: " ".join(word(latin, 1, 12) for _ in range(40)),
+        lambda: word(latin, 200, 300),
+        lambda: " ".join(word("0123456789abcdef", 8, 64) for _ in range(12)),
+        lambda: word(latin + latin.upper() + "0123456789+/", 200, 300),
+        lambda: " ".join(word("0123456789.,:-/", 1, 12) for _ in range(40)),
+        lambda: " ".join(word("%&$#*!?=~^|@_<>(){}[];:", 1, 6) for _ in range(60)),
+        lambda: " ".join(rng.choice("abcxyz") + " " + word("0123456789%&$#", 2, 8) for _ in range(40)),
+    ]
+    kinds += [lambda letters=letters: " ".join(word(letters, 1, 9) for _ in range(20)) for letters in free]
+    return [kinds[k % len(kinds)]() for k in range(n)]
+
+
 class Network:
-    """The trained network; ``languages`` in sorted order."""
+    """The trained network; ``languages`` in sorted order, and with ``noise`` one label more at the end."""
 
-    def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 5):
+    def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 5, noise: bool = False):
         rng = np.random.default_rng(seed)
+        self.noise, languages = noise, [*languages, UNKNOWN] if noise else languages
         self.languages = languages
         self.left, self.right = Gru(rng, hidden), Gru(rng, hidden)
         self.out = rng.normal(0, 0.3, (2 * hidden, len(languages)))
@@ -181,11 +209,11 @@ class Network:
         return read
 
 
-def fit(docs: DataFrame, is_train: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Network | None:
+def fit(docs: DataFrame, is_train: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", noise: bool = False) -> Network | None:
     """A network learned from at most SAMPLE_ROWS rows of each language, chosen by a hash of the id; None without any.
 
     A language's rows are thinned to about twice the sample by their hash before they are ranked, so what is shuffled
-    does not grow with the corpus.
+    does not grow with the corpus. With ``noise`` it also learns generated texts of no language.
     """
     text = F.col(text_column).cast("string")
     labelled = docs.where(is_train & F.col(lang_column).isNotNull() & (F.length(text) > 0)).select(F.col(lang_column).cast("string").alias("lang"), F.xxhash64(F.col(id_column), F.lit(7)).alias("h"), F.col(id_column).alias("id"), text.alias("text"))
@@ -198,8 +226,11 @@ def fit(docs: DataFrame, is_train: Column, id_column: str = "doc_id", text_colum
     place = F.pmod(F.col("h"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     rows = sorted((r["lang"], r["h"], r["part"]) for r in chosen.select("lang", "h", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("part")).collect())
     languages = sorted({r[0] for r in rows})
-    labels = np.array([languages.index(r[0]) for r in rows])
-    return Network(languages).fit([np.frombuffer(r[2].encode(), np.uint8) for r in rows], labels)
+    labels, parts = [languages.index(r[0]) for r in rows], [r[2] for r in rows]
+    if noise:
+        added = noise_texts(parts)
+        labels, parts = [*labels, *[len(languages)] * len(added)], [*parts, *added]
+    return Network(languages, noise=noise).fit([np.frombuffer(p.encode(), np.uint8) for p in parts], np.array(labels))
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -227,9 +258,12 @@ class _Reading:
             parts.append(self.read(part, bounds))
             letters.append(np.diff(np.concatenate(([0], np.cumsum(_ASCII_LETTER[part], dtype=np.int32)))[bounds]) > 0)
         p, plainly = np.concatenate(parts), np.concatenate(letters)
+        noisy = np.zeros(len(p), bool)
+        if network.noise:
+            noisy, p = p[:, -1] > NOISE_SHARE, p[:, :-1]
         found, score = [], p.max(axis=1, initial=0)
         for k, best in enumerate(p.argmax(axis=1).tolist() if len(p) else []):
-            plain = plainly[k] or any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode())
+            plain = not noisy[k] and (plainly[k] or any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode()))
             found.append(network.languages[best] if plain else UNKNOWN)
             if not plain:
                 score[k] = 0.0
@@ -239,7 +273,9 @@ class _Reading:
 def identify(docs: DataFrame, network: Network | None, text_column: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) plus lang_pred and score (0 to 1): ``und``, 0 where the text is null or has no letter.
 
-    Only the text is read. Clashing columns of ``docs`` give way. Without a network every row is ``und``.
+    So is a text that a network with a label for noise holds for noise. Only the text is read, and all of it, however
+    long. Clashing columns of ``docs`` give way. Without a network every row is ``und``. Rows that repeat are read each
+    by itself; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
     return add_columns(docs, "lang_pred string, score double", _Reading(shared), [text_column], keep)
@@ -250,9 +286,9 @@ def remainder(c: Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % n
 
 
-def identify_documents(docs: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+def identify_documents(docs: DataFrame, keep: Sequence[str] | None = None, noise: bool = False) -> DataFrame:
     """identify() with a network learned from the documents themselves, those of remainder 0 (mod 5) left out."""
-    return identify(docs, fit(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 0, F.lit(False))), keep=keep)
+    return identify(docs, fit(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 0, F.lit(False)), noise=noise), keep=keep)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowframe.llm.boosting import BoostedTrees
+from rowframe.llm.rows import brought_back, set_aside
 
 #: Kinds, in the order of ties.
 KINDS = ("email", "ip", "card", "phone")
@@ -263,13 +264,17 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Documents with their personal data replaced, with the columns they came with; n_chars follows the text."""
-    found = find_pii(docs)
+    """Documents with their personal data replaced, with the columns they came with; n_chars follows the text.
+
+    Null and empty texts, rows that repeat, an empty table and columns of any name pass as they are.
+    """
+    found = find_pii(set_aside(docs, "text"))
     changed = F.size("spans") > 0
     out = found.withColumn("text", F.when(changed, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__own.n_chars"))
+    return brought_back(out, docs.columns, **new)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:

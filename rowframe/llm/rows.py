@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -38,5 +39,15 @@ def add_columns(df: DataFrame, added: str, compute: Callable[[pa.Table], list[pa
     return kept.mapInArrow(run, out)
 
 
+def set_aside(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and all of ``df``'s in one struct: names that an operator adds meet none of them."""
+    return df.select(*[F.col(f"`{c}`") for c in columns], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__own"))
+
+
+def brought_back(df: DataFrame, names: Sequence[str], **changed: Column) -> DataFrame:
+    """The columns ``names`` out of the struct of set_aside(), some of them changed."""
+    return df.select(*[(changed[c] if c in changed else F.col("__own").getField(c)).alias(c) for c in names])
+
+
 def _as(column: pa.Array, kind: pa.DataType) -> pa.Array:
     return column if column.type == kind else column.cast(kind)

@@ -1,6 +1,7 @@
 """The registered queries against their SQL, and the pipeline's stages on planted documents."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -64,6 +65,40 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert ids["best_fit_packing"] == ids["personal_data"]
 
 
+def test_language_stage_drops_noise_and_keeps_clean_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(3)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    noise = [draw("abcdefghijklmnopqrstuvwxyz", 300), " ".join(draw("abcdefghijklmnopqrstuvwxyz", 7) for _ in range(60)), draw("0123456789abcdef", 400), draw("ABCDEFGHIJKLMNOPabcdefghijklm0123456789+/", 400), "x 12 999 31 4.5 " * 30, "Это простой текст на русском языке. " * 3, "这是一个简单的中文文本。" * 5]
+    planted = spark.createDataFrame([(1000000 + k, t, None, "s", len(t)) for k, t in enumerate(noise)], COLUMNS)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(planted), SF).select("doc_id").collect()}
+    every = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert kept == every
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, n_words string, n_hit string, item_ids string, hit_spans string, spans string, base_spans string, score string, lang_pred string, rest string, `a.b` string, __doc string, piece string, shard string"
+
+
+def test_stages_on_clashing_columns_repeats_and_long_texts(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    text = docs.where("lang = 'en' AND length(text) > 500").orderBy("doc_id").first()["text"]
+    names = [c.strip().split()[0].strip("`") for c in CLASHING.split(",")]
+    own = lambda i, t: (i, t, "en", "s", len(t or ""), *[f"my {n}" for n in names[5:]])
+    long = " ".join(f"the{k} of and ther{k % 13} with that" for k in range(40000))
+    rows = [own(1, f"{text} mail bob@mail.example.com {item} and more"), own(2, None), own(3, long), own(4, text[::-1] + " the and of with that " * 9), own(4, text[::-1] + " the and of with that " * 9), own(5, "")]
+    train = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 = 0").collect()
+    rows += [own(1000 + r["doc_id"], r["text"]) for r in train]
+    out = _through(spark, spark.createDataFrame(rows, CLASHING), str(tmp_path))
+    for name in list(out)[:-1]:
+        assert out[name].columns == names
+        assert all(r[n] == f"my {n}" for r in out[name].collect() for n in names[5:])
+    last = out["personal_data"].where("doc_id < 10").collect()
+    assert sorted(r["doc_id"] for r in last) == [1, 3, 4]
+    by_id = {r["doc_id"]: r["text"] for r in last}
+    assert "[EMAIL]" in by_id[1] and item not in by_id[1] and by_id[3] == long
+
+
 def test_empty_table_and_whole_run(spark, tmp_path):
     out = _through(spark, spark.createDataFrame([], COLUMNS), str(tmp_path))
     assert all(d.count() == 0 for d in out.values())
