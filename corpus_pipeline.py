@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each working on all that its predecessor kept.
 
-Stage by stage: language identification drops texts without a letter or without a clear language; the near-duplicate
+Stage by stage: language identification drops texts without a letter or without a language; the near-duplicate
 join keeps one document of each group; decontamination cuts benchmark passages out of texts and drops documents that
 consist of them; personal data is replaced by its kind; best-fit packing turns the texts into training sequences. Every
 stage but the last returns the columns of ``documents``, and writes through Parquet, so a lost executor or a restart
@@ -18,16 +18,16 @@ from pyspark.sql import functions as F
 
 from rowframe.llm import decontam, jaccard, langid, packing, pii
 
-#: Least score of a language for a document to stay.
-MIN_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text is null, has no letter, or shows no language with a score of at least MIN_SCORE."""
-    held = docs.select("doc_id", "text", "lang", F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
-    found = langid.identify_documents(held)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return kept.select(*["text" if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
+    """Drops documents whose text is null, has no letter, or is mostly noise: neither of the languages learned.
+
+    Texts are read whole, however long. Rows that repeat all stay or go; an empty table stays empty; columns of any
+    name pass as they are.
+    """
+    held = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+    kept = langid.identify_documents(held, noise=True).where(F.col("lang_pred") != langid.UNKNOWN)
+    return kept.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
