@@ -53,7 +53,7 @@ def value_of(tree: Tree | Leaf, row: list[float]) -> float:
 class BoostedTrees:
     """Logistic boosting; ``probability`` is calibrated on held-out rows by a logistic fit of the raw score."""
 
-    def __init__(self, x: list[list[float]], y: list[int], rounds: int = 16, depth: int = 3, rate: float = 0.4, least: int = 5):
+    def __init__(self, x: list[list[float]], y: list[int], rounds: int = 30, depth: int = 4, rate: float = 0.4, least: int = 5):
         fit = [i for i in range(len(x)) if i % 4]
         held = [i for i in range(len(x)) if i % 4 == 0]
         raw = [0.0] * len(x)
