@@ -25,15 +25,20 @@ from rowframe.llm.rows import add_columns
 PAGES, PASSES, RATE, RIDGE = 600, 150, 0.15, 1e-4
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+#: The same where quotes are left open: a tag then ends at the next >.
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_TAG_START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements by their way with text.
-_BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-_RAW = frozenset("script style noscript template title textarea svg iframe math object".split())
+_BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript object ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+_RAW = frozenset("script style template title textarea iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = _BLOCK - {"body", "html", "head", "button", "option", "select"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table html body".split())
+#: Open elements that are kept; deeper ones are read as if they stood beside each other.
+_DEEPEST = 192
 #: Words in a block's text that tell of its use.
 _TELLING = frozenset("cookie cookies subscribe newsletter advert advertisement sponsored copyright comment comments reply share login menu privacy terms related search accept".split())
 
@@ -48,18 +53,23 @@ class Block:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in page order; scripts, styles, titles and comments have none."""
+    """The leaf blocks of a page in page order; scripts, styles, titles and comments have none.
+
+    Time grows as the page does: a tag without an end is text, and after the first one with an open quote tags end at
+    the next >.
+    """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = 0
     in_link = 0
     seen_h1 = False
+    beyond: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 words = tuple(dict.fromkeys(w for _, ws in stack for w in ws))
                 blocks.append(Block(text, tuple(t for t, _ in stack if t in _BLOCK), words, min(1.0, linked / len(text)), seen_h1))
@@ -78,11 +88,20 @@ def leaf_blocks(page: str) -> list[Block]:
                 return
 
     at, n = 0, len(page)
+    last, token = page.rfind(">"), _TOKEN
     while at < n:
-        m = _TOKEN.search(page, at)
-        upto = m.start() if m else n
+        start = _TAG_START.search(page, at) if at <= last else None
+        m = None
+        if start and start.start() < last:
+            m = token.match(page, start.start())
+            if m is None and token is _TOKEN:
+                token = _LOOSE
+                m = token.match(page, start.start())
+        if start and m is None and page.startswith("<!--", start.start()):
+            m = token.match(page, start.start())
+        upto = start.start() if m else n
         if upto > at:
-            parts.append(page[at:upto])
+            parts.append(html.unescape(page[at:upto]))
             if in_link > 0:
                 linked += upto - at
         if not m:
@@ -94,6 +113,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in _BLOCK:
                 flush()
+            if beyond.get(tag):
+                beyond[tag] -= 1
+                continue
             if tag == "p" or any(t == tag for t, _ in stack):
                 close({tag}, frozenset())
             seen_h1 = seen_h1 or tag == "h1"
@@ -116,6 +138,9 @@ def leaf_blocks(page: str) -> list[Block]:
                 close(_SIBLINGS[tag], _SCOPES)
         if tag in _VOID or m[3].rstrip().endswith("/") and tag not in _BLOCK:
             continue
+        if len(stack) >= _DEEPEST:
+            beyond[tag] = beyond.get(tag, 0) + 1
+            continue
         words: tuple[str, ...] = ()
         if m[3]:
             words = tuple(w for x in _NAMED.findall(m[3]) for w in _WORD.findall("".join(x).lower()))
@@ -140,7 +165,8 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
         own.append(f"h1:{b.seen_h1}:{size > 8}")
         if any(c in b.text for c in "©|»›"):
             own.append("sign")
-        own += [f"says:{w}" for w in {x.strip('.,:!?').lower() for x in words[:12]} & _TELLING]
+        told = {x.strip('.,:!?').lower() for x in words} & _TELLING
+        own += [f"says:{w}" for w in told] if size <= 12 else [f"tells:{min(len(told), 3)}"] if told else []
         own.append("same" if k and blocks[k - 1].tags[:-1] == b.tags[:-1] else "other")
         out.append(own)
     return out
@@ -179,6 +205,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         for k in range(9, len(ws), 10):
             ws[k] += rng.choice((".", ",", "."))
         junk = rng.random()
+        if junk > 0.9:
+            ws[rng.randrange(len(ws))] = rng.choice(sorted(_TELLING))
         if junk < 0.06:
             ws = [w + rng.choice(("%%%", "***", "&amp;&amp;", "###", " |")) for w in ws]
         return " ".join(ws).capitalize() + rng.choice((".", ".", ".", "!", ""))
@@ -410,7 +438,8 @@ def _extract(shared):
 def extract_main_text(pages: DataFrame, html_column: str = "html", keep: Sequence[str] | None = None) -> DataFrame:
     """``pages`` (or its columns ``keep``) plus text (empty if none) and n_chars, its code points.
 
-    A null page is empty. Clashing columns of ``pages`` give way.
+    A null page is empty; a page is read whole, however long, malformed or deep. Rows that repeat are read each by
+    itself; an empty table stays empty. Clashing columns of ``pages`` give way.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained_field())
     named = pages if html_column == "html" else pages.withColumnRenamed(html_column, "html")

@@ -367,6 +367,35 @@ def test_viterbi_is_exact():
         assert abs(value(field.decode(features)) - value(best)) < 1e-12
 
 
+#: Layouts written by hand: page, and its main text.
+LAYOUTS = [
+    ("<html><body><nav><a href=/>Home</a> <a href=/b>Blog</a></nav><main><h1>A title</h1><p>One long paragraph that says a good many things about it all.</p></main><footer>&copy; 2020 Us</footer></body></html>", "A title\n\nOne long paragraph that says a good many things about it all."),
+    ("<body><div class='menu'><ul><li><a href='/'>Start</a></li><li><a href='/x'>More</a></li></ul></div><div class=post-body><h2>Heading</h2><p>Text of the post, with <b>bold</b> and <a href=x>a link</a> inside of it, ends here.</p><ul><li>first point of the list</li><li>second point of the list</li></ul></div></body>", "Heading\n\nText of the post, with bold and a link inside of it, ends here.\n\nfirst point of the list\n\nsecond point of the list"),
+    ("<article><h1>Formula</h1><p>Let <math><mi>a</mi><mo>=</mo><mi>b</mi></math> be true for all of the numbers that we look at here.</p></article>", "Formula\n\nLet a=b be true for all of the numbers that we look at here."),
+    ("<article><h1>Ampersands</h1><p>AT&<b>lt;</b> is not a tag, and &lt;p&gt; is none either, as one can see in here.</p></article>", "Ampersands\n\nAT&lt; is not a tag, and <p> is none either, as one can see in here."),
+    ("<article><h1>Drawn</h1><p>A picture <svg><text>of 3 bars</text></svg> stands in the middle of this very sentence, as text.</p></article><aside class='related'><h3>Related</h3><ul><li><a href=1>Another story to read</a></li><li><a href=2>A second story to read</a></li></ul></aside>", "Drawn\n\nA picture of 3 bars stands in the middle of this very sentence, as text."),
+    ("<main><article><h1>Long one</h1><p>The first paragraph of this article has some words in it, not only a few.</p><p>Readers may search and share and accept what they like in a longer sentence such as this one.</p></article></main><section class='comments'><h3>Comments</h3><div class='comment'><p>I liked this one very much, thank you.</p></div></section>", "Long one\n\nThe first paragraph of this article has some words in it, not only a few.\n\nReaders may search and share and accept what they like in a longer sentence such as this one."),
+    ("<div class='cookie-banner'><p>We use cookies. Accept</p></div><article><h1>News</h1><p>Something happened today in the town that nobody had thought of before.</p><blockquote>I had not thought of it, said one of the people.</blockquote></article><form class='search'><label>Search</label><input type=text><button>Go</button></form>", "News\n\nSomething happened today in the town that nobody had thought of before.\n\nI had not thought of it, said one of the people."),
+    ("<header class=site-header><div>The Site</div></header><div id=content><h1>Table</h1><p>What follows after this sentence is the text of an article in a div.</p><pre>some code = 1</pre></div><div class=footer><p>&copy; The Site 2021</p></div>", "Table\n\nWhat follows after this sentence is the text of an article in a div.\n\nsome code = 1"),
+    ("<article><h1>Broken <p>A paragraph that has no end tag and a heading without one, it goes on.<p>The next one comes right after it and ends the page as well.", "Broken\n\nA paragraph that has no end tag and a heading without one, it goes on.\n\nThe next one comes right after it and ends the page as well."),
+    ("<article><h1 title='a > b'>Quoted</h1><p data-x=\"1 > 0\">The sign in an attribute does not end the tag in which it stands.</p></article>", "Quoted\n\nThe sign in an attribute does not end the tag in which it stands."),
+]
+
+
+@pytest.mark.parametrize("k", range(len(LAYOUTS)))
+def test_layouts_written_by_hand(k):
+    assert html_crf.main_text(LAYOUTS[k][0], html_crf.trained_field()) == LAYOUTS[k][1]
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<!", "<div><p>x", "</p>", "<a b='", "<", "<!-- ", "&lt", "<b>x</i>", "<script>"])
+def test_pages_of_any_make_take_time_by_length(piece):
+    page = piece * (800_000 // len(piece))
+    began = time.perf_counter()
+    html_crf.leaf_blocks(page)
+    html_crf.leaf_blocks(page + ">")
+    assert time.perf_counter() - began < 20
+
+
 def test_extraction_odd_cases(spark):
     page = "<html><head><title>T</title><script>var a='</p><p>';</script></head><body><nav><a href='/'>Home</a></nav><article><h1>A &amp; B</h1><p>First  para&nbsp;graph\nof text here, long enough.<p>Second one<br>goes on &lt;b&gt; and on, it ends.</article><footer>&copy; me</footer></body></html>"
     rows = [(1, "u", page, "t"), (2, None, None, "t"), (3, "u", "", "t"), (4, "u", "<p>unclosed <b", "t"), (5, "u", "<!-- never closed <p>x</p>", "t"), (None, "u", "<script>", "t"), (6, "u", "<div>" * 3000 + "deep" + "<p>x" * 3000, "t")]
