@@ -52,6 +52,35 @@ def test_neighbours_recall_and_order(spark):
     assert hits / total >= 0.9
 
 
+def test_probing_prunes_clustered_vectors():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((200, 64))[rng.integers(0, 200, 20000)] + 0.15 * rng.standard_normal((20000, 64))
+    codes = ann.Codes.fitted(x[: ann.SAMPLE], 10)
+    admitted, ranked = codes.shares(x)
+    assert ranked <= admitted < 0.1
+    for radius in (0, 5, 17, 40):
+        reach, own = codes.reach(radius), ann.Directories(codes.code(x[:3000]))
+        for q in range(5):
+            within = np.flatnonzero(np.bitwise_count(own.codes ^ own.codes[q]).sum(axis=1) <= radius)
+            assert np.isin(within, own.probe(own.codes[q], reach)).all()
+
+
+def test_recall_of_neighbours_on_the_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").toArrow()
+    ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), float)
+    found = defaultdict(set)
+    for r in ann.op1_nearest_neighbours(spark, sf).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    asked = np.flatnonzero(ids % 100 == 0)
+    for q in asked:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found[ids[q]] & set(ids[np.argsort(d)[:10]].tolist()))
+    assert hits / (10 * len(asked)) >= 0.95
+
+
 def test_neighbours_odd_cases(spark):
     rows = [(k, [float(k % 7), 1.0, 0.5 * k]) for k in range(60)]
     rows += [(200 + k, [1.0, 1.0, 1.0]) for k in range(15)] + [(100, [1.0, 1.0, 1.0])]
@@ -89,7 +118,7 @@ def test_neighbours_of_isolated_queries(spark, sigma):
 def test_neighbours_beyond_the_radius_are_searched_again(spark):
     x = np.random.default_rng(6).standard_normal((500, 24))
     base = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = ann._ranked(base, {24: ann.Codes(x, 10)}, {24: (np.arange(3), x[:3], np.zeros(3, np.int64))}, 10)
+    found = ann._ranked(base, {24: ann.Codes(x, 10, 64)}, {24: (np.arange(3), x[:3], np.zeros(3, np.int64))}, 10)
     assert len(found) == 2 and Counter(r["query_id"] for f in found for r in f.collect()) == {0: 10, 1: 10, 2: 10}
 
 
