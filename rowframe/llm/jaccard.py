@@ -425,8 +425,10 @@ def _binned_links(df: DataFrame) -> np.ndarray:
 
 def _verified(base: DataFrame, classes: DataFrame, groups: DataFrame, width: int, threshold: Fraction) -> tuple[DataFrame, np.ndarray]:
     """node, links, label (any class of its component, the least one of it if it has links) for the classes in groups; and the links by similarity."""
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    own = durable(groups.join(sizes, "root").join(classes.select("node", F.col("rep").alias("doc"), "digest"), "node"))
+    sizes = durable(groups.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1"))
+    few = sizes.count() <= BROADCAST_ROWS
+    sized = groups.join(F.broadcast(sizes) if few else sizes, "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    own = durable(sized.join(classes.select("node", F.col("rep").alias("doc"), "digest"), "node"))
     small = own.count() <= BROADCAST_ROWS
     texts = base.join(F.broadcast(own) if small else own, ["doc", "digest"]).select("node", "root", "tiles", "text").mapInArrow(_once, "node long, root long, tiles int, text string")
     # a centre has a copy in every tile of its group
