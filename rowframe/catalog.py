@@ -6,13 +6,13 @@ of addition is not fixed.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowframe.durable import shared_folder
 from rowframe.frame import Frame
 from rowframe.functions import dyn_number, get_path, normalize
 from rowframe.operators.base import python
@@ -49,9 +49,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> Frame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder of its own that all executors share: under spark.checkpoint.dir where that is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rowframe-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A folder of its own that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def _one(spark: SparkSession, **cells) -> DataFrame:
@@ -285,14 +284,8 @@ def find_rows_by_part_of_text(spark, sf_dir):
     return _t(spark, sf_dir, "orders").find_rows(77, "o_orderkey").df.select("o_orderkey")
 
 
-@query("SELECT p_partkey, CAST(levenshtein(p_name, 'red widget') AS INTEGER) AS dist FROM part ORDER BY dist, p_partkey LIMIT 50")
-def similar_parts(spark, sf_dir):
-    found = _t(spark, sf_dir, "part").find_similar_rows("red widget", "p_name").head(50).df
-    return found.select(F.col("row.p_partkey").alias("p_partkey"), "dist")
-
-
 @query("SELECT p_partkey, CAST(levenshtein(p_name, 'red widget') AS INTEGER) AS dist, row_number() OVER (ORDER BY dist, p_partkey) - 1 AS index FROM part")
-def similar_parts_whole(spark, sf_dir):
+def similar_parts(spark, sf_dir):
     found = _t(spark, sf_dir, "part").find_similar_rows("red widget", "p_name").with_row_index().df
     return found.select(F.col("row.p_partkey").alias("p_partkey"), "dist", "index")
 
@@ -327,26 +320,6 @@ def append_rows(spark, sf_dir):
 
 # --------------------------------------------------------------------------------------------------------------- joins
 
-_JOIN_SQL = "SELECT o_orderkey, c_custkey, o_totalprice FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) {} JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey"
-
-
-def _sides(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0"), _t(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
-
-
-def _join(how: str) -> Query:
-    def run(spark, sf_dir):
-        orders, customers = _sides(spark, sf_dir)
-        return orders.join(customers, "o_custkey", "c_custkey", how).df.select("o_orderkey", "c_custkey", "o_totalprice")
-
-    run.__name__ = f"join_{how}"
-    return run
-
-
-for _how in ("inner", "left", "right", "outer"):
-    query(_JOIN_SQL.format("FULL" if _how == "outer" else _how.upper()))(_join(_how))
-
-
 @query("SELECT a.n_nationkey AS k, CASE WHEN b.n_nationkey IS NOT NULL THEN b.v ELSE a.n_name END AS v FROM nation a LEFT JOIN (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'b' END AS v FROM nation WHERE n_nationkey % 2 = 0) b USING (n_nationkey)")
 def join_right_side_wins(spark, sf_dir):
     a = _t(spark, sf_dir, "nation").transform(lambda r: {"k": r.n_nationkey, "v": r.n_name})
@@ -354,53 +327,39 @@ def join_right_side_wins(spark, sf_dir):
     return a.join(b, "k", "k", "left").df
 
 
-@query("SELECT o_orderkey, coalesce(c_name, 'nobody') AS who FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
-def join_with_selection(spark, sf_dir):
-    orders, customers = _sides(spark, sf_dir)
-    return orders.join(customers, "o_custkey", "c_custkey", "left", lambda left, right: {"o_orderkey": left.o_orderkey, "who": F.coalesce(right.c_name, F.lit("nobody"))}).df
-
-
-@query("SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, a.c_acctbal AS bal, b.c_nationkey AS nation FROM (SELECT * FROM customer WHERE c_custkey <= 900) a FULL JOIN (SELECT * FROM customer WHERE c_custkey > 600) b USING (c_custkey)")
-def merge_customers(spark, sf_dir):
-    f = _t(spark, sf_dir, "customer")
-    a = f.filter("c_custkey <= 900").transform(lambda r: {"c_custkey": r.c_custkey, "bal": r.c_acctbal})
-    b = f.filter("c_custkey > 600").transform(lambda r: {"c_custkey": r.c_custkey, "nation": r.c_nationkey})
-    return a.merge_with(b, "c_custkey").df
-
-
-_WHOLE_JOIN_SQL = (
+_JOIN_SQL = (
     "SELECT o_orderkey, c_custkey, {} FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS buyer FROM orders) "
     "{} JOIN (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS account FROM customer) ON buyer = account"
 )
 
 
-def _whole_sides(spark, sf_dir):
+def _sides(spark, sf_dir):
     """Every order and every customer; some keys of either side are moved away from all of the other's."""
     orders = _t(spark, sf_dir, "orders").add_column("buyer", lambda r: F.when(r.o_orderkey % 3 == 0, -r.o_custkey).otherwise(r.o_custkey))
     return orders, _t(spark, sf_dir, "customer").add_column("account", lambda r: F.when(r.c_custkey % 5 == 0, r.c_custkey + 1000000000).otherwise(r.c_custkey))
 
 
-def _whole_join(how: str) -> Query:
+def _join(how: str) -> Query:
     def run(spark, sf_dir):
-        orders, customers = _whole_sides(spark, sf_dir)
+        orders, customers = _sides(spark, sf_dir)
         return orders.join(customers, "buyer", "account", how).df.select("o_orderkey", "c_custkey", "o_totalprice")
 
-    run.__name__ = f"join_{how}_whole"
+    run.__name__ = f"join_{how}"
     return run
 
 
 for _how in ("inner", "left", "right", "outer"):
-    query(_WHOLE_JOIN_SQL.format("o_totalprice", "FULL" if _how == "outer" else _how.upper()))(_whole_join(_how))
+    query(_JOIN_SQL.format("o_totalprice", "FULL" if _how == "outer" else _how.upper()))(_join(_how))
 
 
-@query(_WHOLE_JOIN_SQL.format("coalesce(c_name, 'nobody') AS who", "LEFT"))
-def join_with_selection_whole(spark, sf_dir):
-    orders, customers = _whole_sides(spark, sf_dir)
+@query(_JOIN_SQL.format("coalesce(c_name, 'nobody') AS who", "LEFT"))
+def join_with_selection(spark, sf_dir):
+    orders, customers = _sides(spark, sf_dir)
     return orders.join(customers, "buyer", "account", "left", lambda left, right: {"o_orderkey": left.o_orderkey, "c_custkey": right.c_custkey, "who": F.coalesce(right.c_name, F.lit("nobody"))}).df
 
 
 @query("SELECT coalesce(a.c_custkey, b.k) AS k, a.c_acctbal AS bal, b.c_nationkey AS nation FROM customer a FULL JOIN (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k FROM customer) b ON a.c_custkey = b.k")
-def merge_customers_whole(spark, sf_dir):
+def merge_customers(spark, sf_dir):
     f = _t(spark, sf_dir, "customer")
     a = f.transform(lambda r: {"k": r.c_custkey, "bal": r.c_acctbal})
     b = f.transform(lambda r: {"k": F.when(r.c_custkey % 3 == 0, -r.c_custkey).otherwise(r.c_custkey), "nation": r.c_nationkey})
@@ -421,45 +380,24 @@ def merge_one_to_one(spark, sf_dir):
 # ------------------------------------------------------------------------------------------------------------ ordering
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS index FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100")
-def sort_numbers_descending(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").sort_by("c_acctbal", "desc").head(100).with_row_index().df.select("c_custkey", "index")
-
-
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS index FROM part ORDER BY p_name, p_partkey LIMIT 50")
-def sort_texts(spark, sf_dir):
-    return _t(spark, sf_dir, "part").sort_by("p_name").head(50).with_row_index().df.select("p_partkey", "index")
-
-
-@query("SELECT event_id, row_number() OVER (ORDER BY v NULLS FIRST, event_id) - 1 AS index FROM (SELECT event_id, CASE WHEN event_id % 500 <> 0 THEN value END AS v FROM events) ORDER BY index LIMIT 60")
-def sort_nulls_first(spark, sf_dir):
-    f = _t(spark, sf_dir, "events").transform(lambda r: {"event_id": r.event_id, "v": F.when(r.event_id % 500 != 0, r.value)})
-    return f.sort_by_async("v").head(60).with_row_index().df.select("event_id", "index")
-
-
-@query("SELECT c_custkey, row_number() OVER (ORDER BY abs(c_acctbal), c_custkey) - 1 AS index FROM customer ORDER BY index LIMIT 30")
-def sort_by_key_callback(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").sort_by_async(lambda r: F.abs(r.c_acctbal)).head(30).with_row_index().df.select("c_custkey", "index")
-
-
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS index FROM customer")
-def sort_numbers_descending_whole(spark, sf_dir):
+def sort_numbers_descending(spark, sf_dir):
     return _t(spark, sf_dir, "customer").sort_by("c_acctbal", "desc").with_row_index().df.select("c_custkey", "index")
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS index FROM part")
-def sort_texts_whole(spark, sf_dir):
+def sort_texts(spark, sf_dir):
     return _t(spark, sf_dir, "part").sort_by("p_name").with_row_index().df.select("p_partkey", "index")
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY v NULLS FIRST, event_id) - 1 AS index FROM (SELECT event_id, CASE WHEN event_id % 500 <> 0 THEN value END AS v FROM events)")
-def sort_nulls_first_whole(spark, sf_dir):
+def sort_nulls_first(spark, sf_dir):
     f = _t(spark, sf_dir, "events").transform(lambda r: {"event_id": r.event_id, "v": F.when(r.event_id % 500 != 0, r.value)})
     return f.sort_by_async("v").with_row_index().df.select("event_id", "index")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY abs(c_acctbal), c_custkey) - 1 AS index FROM customer")
-def sort_by_key_callback_whole(spark, sf_dir):
+def sort_by_key_callback(spark, sf_dir):
     return _t(spark, sf_dir, "customer").sort_by_async(lambda r: F.abs(r.c_acctbal)).with_row_index().df.select("c_custkey", "index")
 
 
@@ -563,3 +501,7 @@ def stream_over_a_folder(spark, sf_dir):
     p = Pipeline.watch(spark, f"{folder}/in", "event_id long, event_type string, value double").filter("event_type = 'view'").map(lambda r: {"event_id": r.event_id, "more": r.value + 1})
     p.run_to_folder(f"{folder}/out", f"{folder}/checkpoint", "parquet")
     return spark.read.parquet(f"{folder}/out")
+
+
+# the rest of the catalogue registers itself here
+from rowframe import catalog_io  # noqa: E402, F401

@@ -42,12 +42,12 @@ class Groups:
     def keys(self) -> list[str]:
         """The groups' keys by first appearance."""
         first = self._frame._least()
-        return [r[0] for r in self._frame._df.groupBy(self._key.alias("k")).agg(F.min(first).alias("f")).orderBy("f").select("k").collect()]
+        return [r[0] for r in self._frame._df.groupBy(self._key.alias("k")).agg(self._frame._earliest(first).alias("f")).orderBy(F.col("f").desc() if self._frame._flipped() else F.col("f")).select("k").collect()]
 
     def rows(self) -> DataFrame:
         """key, rows (array of struct, in order). A group is one value here; agg() and group() have no such bound."""
         cells = F.struct(*[q(c) for c in self._frame.columns])
-        gathered = F.array_sort(F.collect_list(F.struct(self._frame._least().alias("o"), cells.alias("r"))), _by_order)
+        gathered = F.array_sort(F.collect_list(F.struct(self._frame._least().alias("o"), cells.alias("r"))), self._frame._in_order)
         return self._frame._df.groupBy(self._key.alias(self.name)).agg(F.transform(gathered, lambda x: x["r"]).alias("rows"))
 
     def to_dict(self) -> dict[str, list[dict[str, Any]]]:
@@ -62,18 +62,32 @@ class Groups:
 
 class GroupOperators(JoinOperators):
     def _least(self) -> Column:
-        """A struct that sorts as the rows do (ascending, NULLs first)."""
-        turned = []
+        """A struct that sorts as the rows do (ascending, NULLs first), or the other way round if _flipped()."""
+        turned, flipped = [], self._flipped()
         for k in self._keys:
-            c, kind = F.col(k.name), self._df.schema[k.name].dataType.typeName()
-            if k.descending:
-                if kind not in ("byte", "short", "integer", "long", "float", "double", "decimal"):
-                    raise RowFrameError("after a descending sort on a text this operator needs another order; sort ascending or by a number")
+            c = F.col(k.name)
+            if k.descending != flipped:
+                if not self._numeric(k):
+                    raise RowFrameError("this operator cannot follow an order by several texts in unlike directions")
                 c = -c
-            turned.append((c.isNull() if not k.nulls_first else c.isNotNull()).alias(f"n{len(turned)}"))
+            turned.append((c.isNull() if k.nulls_first == flipped else c.isNotNull()).alias(f"n{len(turned)}"))
             turned.append(c.alias(f"o{len(turned)}"))
         return F.struct(*turned) if turned else F.struct(F.lit(0).alias("o0"))
 
+    def _numeric(self, key: Key) -> bool:
+        return self._df.schema[key.name].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
+
+    def _flipped(self) -> bool:
+        """Whether _least() sorts the other way round: a descending text cannot be negated, all else can."""
+        return any(k.descending and not self._numeric(k) for k in self._keys)
+
+    def _earliest(self, order: Column) -> Column:
+        """The place of a group's first row, by _least()."""
+        return F.max(order) if self._flipped() else F.min(order)
+
+    def _in_order(self, a: Column, b: Column) -> Column:
+        return _by_order(b, a) if self._flipped() else _by_order(a, b)
+
     def aggregate(self, column: str, operation: str = "sum") -> float | int:
         """sum, avg, min, max or count of a column's cells read as numbers; cells that are none are left out."""
         if operation not in AGGREGATES:
@@ -102,10 +116,10 @@ class GroupOperators(JoinOperators):
 
     def distinct(self, column: str):
         """The values of a column, each once, by first appearance."""
-        return self._firsts(self._df.groupBy(q(column).alias(column)).agg(F.min(self._least()).alias(f"{HIDDEN}0")))
+        return self._firsts(self._df.groupBy(q(column).alias(column)).agg(self._earliest(self._least()).alias(f"{HIDDEN}0")))
 
     def _firsts(self, df: DataFrame):
-        return self._with(df, [Key(f"{HIDDEN}0")])
+        return self._with(df, [Key(f"{HIDDEN}0", self._flipped(), not self._flipped())])
 
     def pivot(self, row: str, column: str, value: str, values: Sequence[str] | None = None):
         """A row for each row text (by first appearance), a column for each column text; the last row's value wins.
@@ -113,8 +127,8 @@ class GroupOperators(JoinOperators):
         ``values`` names the columns; without it they are found by a job of their own.
         """
         keyed = self._df.select(self._text(row).alias("__r"), self._text(column).alias("__c"), q(value).alias("__v"), self._least().alias("__o"))
-        wide = keyed.groupBy("__r").pivot("__c", list(values) if values is not None else None).agg(F.max_by(F.struct("__v"), "__o").alias("v"))
-        first = keyed.groupBy("__r").agg(F.min("__o").alias(f"{HIDDEN}0"))
+        wide = keyed.groupBy("__r").pivot("__c", list(values) if values is not None else None).agg((F.min_by if self._flipped() else F.max_by)(F.struct("__v"), "__o").alias("v"))
+        first = keyed.groupBy("__r").agg(self._earliest(F.col("__o")).alias(f"{HIDDEN}0"))
         cells = [F.col(quote_name(c))["__v"].alias(c) for c in wide.columns if c != "__r"]
         joined = wide.join(first, "__r").select(F.col("__r").alias(row), *cells, f"{HIDDEN}0")
         return self._firsts(joined)
@@ -125,7 +139,7 @@ class GroupOperators(JoinOperators):
 
     def reduce_column(self, merge: Callable[[Column, Columns], Column], initial: Any) -> Any:
         """An ordered fold of Column expressions, inside the JVM; the rows meet in one task."""
-        rows = F.transform(F.array_sort(F.collect_list(F.struct(self._least().alias("o"), F.struct(*[q(c) for c in self.columns]).alias("r"))), _by_order), lambda x: x["r"])
+        rows = F.transform(F.array_sort(F.collect_list(F.struct(self._least().alias("o"), F.struct(*[q(c) for c in self.columns]).alias("r"))), self._in_order), lambda x: x["r"])
         return self._df.agg(F.aggregate(rows, as_column(initial), lambda acc, r: merge(acc, r)).alias("v")).first()["v"]
 
     def reduce_parallel(self, fn: Callable[[Any, dict[str, Any]], Any], merge: Callable[[Any, Any], Any], zero: Any) -> Any:

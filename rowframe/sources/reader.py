@@ -51,6 +51,24 @@ def _keyed(df: DataFrame) -> tuple[DataFrame, list[Key]]:
     return df.select("*", *[c.alias(k.name) for c, k in zip(places, keys, strict=True)]), keys
 
 
+#: Files whose first places are sent to all executors; more of them meet their lines in a join.
+BROADCAST_FILES = 100_000
+
+
+def _without_first_lines(lines: DataFrame, n: int, n_files: int) -> DataFrame:
+    """The lines of a keyed scan without the first n of each file.
+
+    Spark packs several files into a partition; a line's place in its file is counted from that file's first line, which
+    one pass finds where there are several files.
+    """
+    at, block = F.col(f"{HIDDEN}2"), F.col(f"{HIDDEN}1")
+    if n_files <= 1:
+        return lines.where((block != 0) | (at.bitwiseAND(F.lit((1 << 33) - 1)) >= n))
+    firsts = lines.where(block == 0).groupBy(f"{HIDDEN}0").agg(F.min(at).alias("__first"))
+    joined = lines.join(F.broadcast(firsts) if n_files <= BROADCAST_FILES else firsts, f"{HIDDEN}0", "left")
+    return joined.where((block != 0) | (at >= F.col("__first") + n)).select(*lines.columns)
+
+
 def _names(first: list[str], d: Dialect) -> list[str]:
     if isinstance(d.columns, list):
         return list(d.columns)
@@ -69,8 +87,7 @@ def _scan(spark: SparkSession, path: str, d: Dialect) -> tuple[DataFrame, list[K
         names = _names(parse(header[0], replace(d, from_line=1, columns=False, to_record=1))[1][0], d)
         skipped = d.from_line - 1 + named
         lines, keys = _keyed(spark.read.option("encoding", d.encoding).text(path))
-        place = F.col(f"{HIDDEN}2").bitwiseAND(F.lit((1 << 33) - 1))
-        kept = lines.where(~((F.col(f"{HIDDEN}1") == 0) & (place < skipped)) & (F.trim("value") != ""))
+        kept = _without_first_lines(lines, skipped, len(_files(spark, path))).where(F.trim("value") != "")
         cells = F.from_csv(F.col("value"), ", ".join(f"{quote_name(n)} string" for n in names), {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in d.reader_options().items() if k in ("sep", "quote", "escape", "emptyValue", "mode")})
         return kept.select(cells.alias("c"), *[k.name for k in keys]).select("c.*", *[k.name for k in keys]), keys
     if d.from_line > 1:

@@ -60,7 +60,7 @@ def test_shuffles_carry_little(spark):
 def test_joins_take_whole_tables(spark, how):
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
     orders, customers = ({r[0] for r in read(t).select(c).collect()} for t, c in (("orders", "o_orderkey"), ("customer", "c_custkey")))
-    rows = catalog.QUERIES[f"join_{how}_whole"](spark, SF).collect()
+    rows = catalog.QUERIES[f"join_{how}"](spark, SF).collect()
     met = [r for r in rows if r["o_orderkey"] is not None and r["c_custkey"] is not None]
     assert any(r["o_orderkey"] % 3 for r in met) and any(r["c_custkey"] % 2 for r in met)
     assert how not in ("left", "outer") or {r["o_orderkey"] for r in rows} - {None} == orders
@@ -69,12 +69,12 @@ def test_joins_take_whole_tables(spark, how):
 
 def test_merge_takes_whole_tables(spark):
     customers = {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
-    assert {r["k"] for r in catalog.QUERIES["merge_customers_whole"](spark, SF).collect()} == customers | {-k for k in customers if k % 3 == 0}
+    assert {r["k"] for r in catalog.QUERIES["merge_customers"](spark, SF).collect()} == customers | {-k for k in customers if k % 3 == 0}
 
 
 @pytest.mark.parametrize("name, table", [("sort_numbers_descending", "customer"), ("sort_texts", "part"), ("sort_nulls_first", "events"), ("sort_by_key_callback", "customer"), ("similar_parts", "part")])
 def test_sorts_rank_whole_tables(spark, name, table):
-    ranks = sorted(r["index"] for r in catalog.QUERIES[f"{name}_whole"](spark, SF).collect())
+    ranks = sorted(r["index"] for r in catalog.QUERIES[name](spark, SF).collect())
     assert ranks == list(range(spark.read.parquet(f"{SF}/{table}.parquet").count()))
 
 
