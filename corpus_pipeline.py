@@ -9,13 +9,13 @@ costs one stage at most. An empty table passes through all stages; null texts ar
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowframe.durable import shared_folder
 from rowframe.llm import decontam, jaccard, langid, packing, pii
 
 
@@ -31,22 +31,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least doc_id, of each group of copies and near copies."""
+    """Keeps one document, that of the least doc_id, of each group of copies and near copies.
+
+    Texts are read whole, however long; null and empty ones all stay. Of rows that repeat one stays; an empty table stays empty; columns of any
+    name pass as they are.
+    """
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of the benchmark out of the texts; drops documents that are mostly such passages."""
+    """Cuts passages of the benchmark out of the texts; drops documents that are mostly such passages.
+
+    Texts are read whole, however long; null and empty ones stay. Rows that repeat are cut alike; an empty table stays empty; columns of any
+    name pass as they are.
+    """
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts; keeps every document."""
+    """Replaces personal data in the texts; keeps every document.
+
+    Texts are read whole, however long; null and empty ones stay as they are. Rows that repeat are changed alike; an empty table stays empty; columns of any
+    name pass as they are.
+    """
     return pii.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all texts into sequences: one row for each piece of a document."""
+    """Packs all texts into sequences: one row for each piece of a document.
+
+    Texts are read whole, however long; null and empty ones are one end token. Rows that repeat are
+    packed each by itself; an empty table stays empty; columns of any
+    name are left behind.
+    """
     return packing.pack(docs)
 
 
@@ -62,13 +79,25 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder on whatever file system it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; results of stages are kept under the cluster's shared folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{base.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``.
+
+    A stage's rows are kept under the cluster's shared folder until the next stage has written its own; those of the
+    last stage stay, since they are the result.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         out = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            _remove(spark, before)
+        before = out
     return docs
