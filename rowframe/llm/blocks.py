@@ -15,15 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents of a block, at least; a block's texts are held in one task, so it is bounded above as well.
-BLOCK_DOCS, BLOCK_DOCS_MOST = 256, 8192
-#: Documents whose keys one bucket serves, about.
-BUCKET_DOCS = 1024
+BLOCK_DOCS, BLOCK_DOCS_MOST = 256, 16384
+#: Documents whose keys one bucket serves, about, and buckets at most: beyond, buckets grow, so that a row stays packed.
+BUCKET_DOCS, BUCKETS_MOST = 1024, 1 << 16
 
 
 def block_counts(n_docs: int, block_docs: int = BLOCK_DOCS) -> tuple[int, int]:
-    """How many blocks and buckets serve so many documents; their product stays near the number of documents."""
+    """How many blocks and buckets serve so many documents.
+
+    A block has one row for each bucket. With all of 1e10 documents, a block of 16,384 of them shares out its keys (a
+    hundred or more a document) to 65,536 rows, some dozens a row.
+    """
     per_block = int(min(BLOCK_DOCS_MOST, max(block_docs, n_docs // (1 << 20))))
-    return max(1, -(-n_docs // per_block)), max(16, -(-n_docs // BUCKET_DOCS))
+    return max(1, -(-n_docs // per_block)), min(BUCKETS_MOST, max(16, -(-n_docs // BUCKET_DOCS)))
 
 
 def in_blocks(docs: DataFrame, id_column: str, text_column: str, n_blocks: int) -> DataFrame:

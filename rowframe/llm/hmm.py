@@ -6,8 +6,10 @@ P(word | state) = P(class | state) * (c + 0.1) / (N_class + 0.1 (V_class + 1)),
 for a word never seen in training. So the states stay small while counts cover every distinct word.
 
 *Counts* of all words come from one packed exchange (``blocks``): each block sends its distinct words, a bucket sums
-and answers each block with the counts of its words. *Baum-Welch* runs over all training texts, cut into stretches:
-partitions add up expected counts, which meet as packed sums (the model's size, whatever the input). *Scores* are exact:
+and answers each block with the counts of its words. *Baum-Welch* runs over all training texts, each from its first token
+to its last: their classes are written once, two bytes a token, and every pass reads those; partitions add up expected
+counts, which meet as packed sums (the model's size, whatever the input). Passes end when they gain less than ``GAIN`` a
+token. *Scores* are exact:
 the scaled forward recursion over the whole text. Stretches of a text run side by side, each from every start state,
 and their transfer matrices are multiplied in the order of the text.
 """
@@ -26,8 +28,11 @@ from rowframe.llm import text as X
 from rowframe.llm.durable import durable
 from rowframe.ship import ship
 
-#: States, frequent words, classes of endings, passes of Baum-Welch, words of a stretch, smoothing of a class's count.
-STATES, FREQUENT, HASHED, PASSES, STRETCH, SMOOTH = 6, 1023, 1024, 3, 64, 0.1
+#: States, frequent words, classes of endings, passes of Baum-Welch at most, words of a stretch, smoothing of a class's
+#: count.
+STATES, FREQUENT, HASHED, PASSES, STRETCH, SMOOTH = 6, 1023, 1024, 4, 64, 0.1
+#: Gain of a pass in log-likelihood a token below which training ends, and tokens that a pass holds at a time, about.
+GAIN, PASS_TOKENS = 1e-3, 1 << 19
 #: Added to a word's count.
 ADDED = 0.1
 #: Documents of a block here: larger blocks share more of their words.
@@ -193,13 +198,6 @@ class Model:
         emit = counts[states + states * states :].reshape(states, CLASSES) + SMOOTH
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
-    def settled(self) -> np.ndarray:
-        """The distribution over states that a long text tends to: where a stretch inside a text starts."""
-        at = self.start
-        for _ in range(64):
-            at = at @ self.move
-        return at / at.sum()
-
 
 def _stretches(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of each document in rows of STRETCH (the rest of a row: CLASSES, a token every state emits surely);
@@ -216,47 +214,78 @@ def _stretches(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return out, doc, starts
 
 
-def expected_counts(model: Model, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Expected start, transition and emission counts of rows of tokens, by scaled forward-backward."""
-    k, n = len(model.start), len(tokens)
-    emit = np.vstack([model.emit.T, np.ones((1, k))]).astype(np.float32)
+def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Expected start, transition and emission counts of whole documents, by scaled forward-backward; then their
+    log-likelihood and tokens.
+
+    Documents run side by side, longest first, so those still running at a step are the first ones.
+    """
+    k = len(model.start)
+    sizes = np.diff(bounds)
+    order = np.argsort(-sizes, kind="stable")
+    rank = np.empty(len(sizes), np.int64)
+    rank[order] = np.arange(len(sizes))
+    most = int(sizes.max(initial=0))
+    running = np.searchsorted(-sizes[order], -np.arange(most), side="left")
+    at_step = np.concatenate(([0], np.cumsum(running)))
+    step = np.arange(len(classes)) - np.repeat(bounds[:-1], sizes)
+    tokens = np.empty(len(classes), np.int64)
+    tokens[at_step[step] + np.repeat(rank, sizes)] = classes
+    emit = model.emit.T.astype(np.float32)[tokens]
     move = model.move.astype(np.float32)
-    begin = np.where(starts[:, None], model.start, model.settled()).astype(np.float32)
-    forward = np.empty((STRETCH, n, k), np.float32)
-    scale = np.empty((STRETCH, n, 1), np.float32)
-    at = begin
-    for t in range(STRETCH):
-        at = (at if t == 0 else at @ move) * emit[tokens[:, t]]
-        scale[t] = at.sum(1, keepdims=True)
-        at = at / scale[t]
-        forward[t] = at
+    forward, scale = np.empty((len(tokens), k), np.float32), np.empty((len(tokens), 1), np.float32)
+    at = np.broadcast_to(model.start.astype(np.float32), (len(sizes), k))
+    cuts = at_step.tolist()
+    for t in range(most):
+        here = slice(cuts[t], cuts[t + 1])
+        at = (at[: cuts[t + 1] - cuts[t]] @ move if t else at) * emit[here]
+        scale[here] = at.sum(axis=1, keepdims=True)
+        at /= scale[here]
+        forward[here] = at
     moved = np.zeros((k, k))
-    emitted = np.zeros((k, CLASSES + 1))
-    after = np.ones((n, k), np.float32)
-    for t in range(STRETCH - 1, -1, -1):
-        both = forward[t] * after
-        both /= both.sum(1, keepdims=True)
-        for s in range(k):
-            emitted[s] += np.bincount(tokens[:, t], both[:, s], CLASSES + 1)
-        if t:
-            ahead = emit[tokens[:, t]] * after / scale[t]
-            real = tokens[:, t] < CLASSES
-            moved += move * (forward[t - 1][real].T @ ahead[real])
+    ahead = np.zeros((0, k), np.float32)
+    for t in range(most - 1, -1, -1):
+        here = slice(cuts[t], cuts[t + 1])
+        own = forward[here]
+        next_ = emit[here] / scale[here]
+        n = len(ahead)
+        if n:
+            moved += own[:n].T @ ahead
             after = ahead @ move.T
-    return np.concatenate([both[starts].sum(0), moved.ravel(), emitted[:, :CLASSES].ravel()])
+            own[:n] *= after
+            next_[:n] *= after
+        ahead = next_
+    emitted = np.stack([np.bincount(tokens, forward[:, s], CLASSES) for s in range(k)])
+    started = forward[: len(sizes)].sum(axis=0, dtype=float)
+    return np.concatenate([started, (moved * move).ravel(), emitted.ravel(), [np.log(scale, dtype=float).sum(), len(tokens)]])
 
 
-def _expect(shared):
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, model = shared.value
-        total, slot = None, 0
+def _to_classes(frequent_words):
+    """A text's classes, two bytes each."""
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = frequent_words.value
         for batch in batches:
             data, offsets = X.utf8(batch.column(0))
-            slot = (slot + batch.num_rows) % _SUM_SLOTS
+            out: list[bytes] = []
             for i, j in X.slabs(offsets):
                 words, ending, bounds = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                tokens, _, starts = _stretches(_classes(words, ending, frequent), bounds)
-                counts = expected_counts(model, tokens, starts)
+                raw = _classes(words, ending, frequent).astype(np.uint16).tobytes()
+                out += [raw[2 * a : 2 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["classes"])
+
+    return convert
+
+
+def _expect(shared):
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, total, slot = shared.value, None, 0
+        for batch in batches:
+            data, offsets = X.utf8(batch.column(0).cast(pa.large_binary()))
+            slot = (slot + batch.num_rows) % _SUM_SLOTS
+            for i, j in X.slabs(offsets, 2 * PASS_TOKENS):
+                classes = np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), np.uint16)
+                counts = expected_counts(model, classes, (offsets[i : j + 1] - offsets[i]) // 2)
                 total = counts if total is None else total + counts
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "payload"])
@@ -271,14 +300,24 @@ def _add_counts(rows: pa.Table) -> pa.Table:
 
 def train(texts: DataFrame, vocabulary: Vocabulary, states: int = STATES, passes: int = PASSES) -> Model:
     """Baum-Welch over all ``texts`` (one string column); _SUM_SLOTS packed sums of the model's size reach the driver."""
-    model = Model.first(vocabulary, states)
+    context = texts.sparkSession.sparkContext
+    frequent = context.broadcast(vocabulary.frequent)
+    classes = durable(texts.mapInArrow(_to_classes(frequent), "classes binary"))
+    model, before = Model.first(vocabulary, states), -np.inf
     for _ in range(passes):
-        shared = texts.sparkSession.sparkContext.broadcast((vocabulary.frequent, model))
-        sums = texts.mapInArrow(_expect(shared), "slot int, payload binary").groupBy("slot").applyInArrow(_add_counts, "slot int, payload binary")
+        shared = context.broadcast(model)
+        sums = classes.mapInArrow(_expect(shared), "slot int, payload binary").groupBy("slot").applyInArrow(_add_counts, "slot int, payload binary")
         parts = [np.frombuffer(r["payload"], np.float64) for r in sums.collect()]
-        if parts:
-            model = Model.from_counts(sum(parts), states)
         shared.unpersist()
+        if not parts:
+            break
+        total = sum(parts)
+        model = Model.from_counts(total[:-2], states)
+        likely = total[-2] / total[-1]
+        if likely - before < GAIN:
+            break
+        before = likely
+    frequent.unpersist()
     return model
 
 
@@ -353,7 +392,9 @@ def score_texts(docs: DataFrame, is_train: Column, id_column: str = "doc_id", te
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10): one row for each row of ``docs``.
 
     The model and the counts come from the rows that ``is_train`` selects (null: not selected). A null text is empty and
-    has only the end token. Without any training row, every word is unknown and the model stays as it starts.
+    has only the end token; texts are read whole, however long. Rows that repeat are counted and scored each by itself.
+    Without any training row, every word is unknown and the model stays as it starts; an empty table gives an empty
+    result. Other columns are left behind, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)

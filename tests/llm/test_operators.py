@@ -625,15 +625,47 @@ def test_forward_is_exact_and_training_helps():
             at = (at / at.sum()) @ model.move * model.emit[:, c]
         assert abs(total + np.log10(at.sum()) - got[k]) < 1e-8
     chain = np.tile([3, 9, 4, 9, 9], 200)
-    tokens, _, starts = hmm._stretches(chain, np.array([0, len(chain)]))
     before = hmm.sequence_log10(model, chain, np.array([0, len(chain)]))[0]
     for _ in range(4):
-        model = hmm.Model.from_counts(hmm.expected_counts(model, tokens, starts), 3)
+        model = hmm.Model.from_counts(hmm.expected_counts(model, chain, np.array([0, len(chain)]))[:-2], 3)
         after = hmm.sequence_log10(model, chain, np.array([0, len(chain)]))[0]
         assert after > before - 1e-6
         before = after
 
 
+def test_expected_counts_are_those_of_whole_documents():
+    rng = np.random.default_rng(4)
+    sizes = [1, 130, 64, 2, 65]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    classes = rng.integers(0, hmm.CLASSES, bounds[-1])
+    soft = lambda *s: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(s) + 0.01)
+    model = hmm.Model(soft(3), soft(3, 3), soft(3, hmm.CLASSES))
+    start, move, emit, likely = np.zeros(3), np.zeros((3, 3)), np.zeros((3, hmm.CLASSES)), 0.0
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        c = classes[a:b]
+        f = [model.start * model.emit[:, c[0]]]
+        for x in c[1:]:
+            f.append(f[-1] / f[-1].sum() @ model.move * model.emit[:, x])
+        likely += sum(np.log(v.sum()) for v in f)
+        f = [v / v.sum() for v in f]
+        g = [np.ones(3)]
+        for x in c[:0:-1]:
+            v = model.move @ (model.emit[:, x] * g[-1])
+            g.append(v / v.sum())
+        g = g[::-1]
+        for t, x in enumerate(c):
+            own = f[t] * g[t]
+            emit[:, x] += own / own.sum()
+            if t == 0:
+                start += own / own.sum()
+            else:
+                both = f[t - 1][:, None] * model.move * (model.emit[:, x] * g[t])[None]
+                move += both / both.sum()
+    got = hmm.expected_counts(model, classes, bounds)
+    assert np.allclose(got[:3], start, atol=1e-3) and np.allclose(got[3:12].reshape(3, 3), move, atol=1e-2) and np.allclose(got[12:-2].reshape(3, -1), emit, atol=1e-3)
+    assert abs(got[-2] - likely) < 1e-2 and got[-1] == len(classes)
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     rows = hmm.op10_hmm_scoring(spark, SF).where("held_out").agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
     assert rows["m"] > rows["b"]
