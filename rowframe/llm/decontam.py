@@ -4,11 +4,14 @@ The automaton of all normalised items is built on the driver and broadcast; a be
 hold is cut into shards, which go over the documents a few at a time, each pass adding to what was found before.
 Training words stream through it; the longest matching length tells at each word whether it ends a window of an item.
 Stretches without ``shortest window`` consecutive benchmark words cannot match; a table of word hashes passes over them
-in numpy, and only the rest is walked word by word.
+in numpy, and only the rest is walked word by word. Automata are flat arrays, of which a shard of 1 MB of items takes some
+10 MB in a worker.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -39,27 +42,24 @@ def normal_words(text: str | None) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-class SuffixAutomaton:
-    """All runs of words of all items; states are runs that end at the same places."""
+class _Builder:
+    """All runs of words (numbers) of all items, word by word; states are runs that end at the same places."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.edges: list[dict[bytes, int]] = [{}]
-        self.longest, self.suffix = [0], [-1]
-        items = [(name, words) for name, words in items if words]
-        for _, words in items:
+    def __init__(self, items: list[list[int]]):
+        self.edges: list[dict[int, int]] = [{}]
+        self.longest, self.suffix = array("i", [0]), array("i", [-1])
+        for words in items:
             at = 0
             for w in words:
                 at = self._grow(at, w)
-        self._settle(items)
 
-    def _state(self, longest: int, edges: dict[bytes, int], suffix: int) -> int:
+    def _state(self, longest: int, edges: dict[int, int], suffix: int) -> int:
         self.edges.append(edges)
         self.longest.append(longest)
         self.suffix.append(suffix)
         return len(self.edges) - 1
 
-    def _split(self, parent: int, word: bytes, child: int) -> int:
+    def _split(self, parent: int, word: int, child: int) -> int:
         """The state of parent's longest run plus word, made out of child where child also holds longer runs."""
         if self.longest[child] == self.longest[parent] + 1:
             return child
@@ -70,7 +70,7 @@ class SuffixAutomaton:
             parent = self.suffix[parent]
         return twin
 
-    def _grow(self, last: int, word: bytes) -> int:
+    def _grow(self, last: int, word: int) -> int:
         if word in self.edges[last]:
             return self._split(last, word, self.edges[last][word])
         new = self._state(self.longest[last] + 1, {}, 0)
@@ -82,54 +82,108 @@ class SuffixAutomaton:
             self.suffix[new] = self._split(parent, word, self.edges[parent][word])
         return new
 
-    def _settle(self, items: list[tuple[str, list[bytes]]]) -> None:
-        """Which items hold the window that a state ends with, and which short items end there."""
-        n, size = len(self.edges), self.window
+
+def _lists(n: int, pairs: list[tuple[int, int]]) -> tuple[array, array]:
+    """The second numbers of sorted distinct pairs by the first: bounds of each of n, and all in a row."""
+    pairs = sorted(set(pairs))
+    count = np.bincount(np.array([a for a, _ in pairs], np.int64), minlength=n)
+    return array("i", np.concatenate(([0], np.cumsum(count))).astype(np.int32).tobytes()), array("i", [b for _, b in pairs])
+
+
+class SuffixAutomaton:
+    """The automaton of all items in flat arrays of 32-bit numbers: some 50 bytes a word of the items.
+
+    Words are known by their hashes, in whose order they are numbered.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+        items = [(name, words) for name, words in items if words]
+        self.window, self.names = window, sorted({name for name, _ in items})
+        vocabulary = sorted({w for _, ws in items for w in ws})
+        ends = np.cumsum([len(w) for w in vocabulary]).astype(np.int64)
+        hashes = X.word_hashes(np.frombuffer(b"".join(vocabulary), np.uint8), np.concatenate(([0], ends[:-1])).astype(np.int64), ends) if vocabulary else np.zeros(0, np.uint64)
+        self.hashes = np.unique(hashes)
+        number = dict(zip(vocabulary, np.searchsorted(self.hashes, hashes).tolist(), strict=True))
+        self.known = np.zeros(_TABLE, bool)
+        self.known[(self.hashes & np.uint64(_TABLE - 1)).astype(np.int64)] = True
+        place = {name: k for k, name in enumerate(self.names)}
+        numbered = [(place[name], [number[w] for w in words]) for name, words in items]
+        self._settle(_Builder([words for _, words in numbered]), numbered)
+
+    def _settle(self, built: _Builder, items: list[tuple[int, list[int]]]) -> None:
+        """Flat edges; which items hold the window that a state ends with, and which short items end there."""
+        n, size = len(built.edges), self.window
+        self.longest, self.suffix = built.longest, built.suffix
         by_length = sorted(range(1, n), key=self.longest.__getitem__)
-        self.window_state = [0] * n
+        self.window_state = array("i", bytes(4 * n))
         for v in by_length:
             if self.longest[v] >= size:
                 up = self.suffix[v]
                 self.window_state[v] = v if self.longest[up] < size else self.window_state[up]
-        self.items_of: dict[int, set[str]] = {}
-        self.short_of: dict[int, tuple[int, set[str]]] = {}
+        held, short, lengths = [], [], {}
         for name, words in items:
             v = 0
             for k, w in enumerate(words, 1):
-                v = self.edges[v][w]
+                v = built.edges[v][w]
                 if k >= size:
-                    self.items_of.setdefault(self.window_state[v], set()).add(name)
+                    held.append((self.window_state[v], name))
             if len(words) < size:
-                self.short_of.setdefault(v, (len(words), set()))[1].add(name)
-        self.short_state = [0] * n
+                lengths[v] = len(words)
+                short.append((v, name))
+        self.items_at, self.items = _lists(n, held)
+        self.short_at, self.short_items = _lists(n, short)
+        self.short_words = lengths
+        self.short_state = array("i", bytes(4 * n))
         for v in by_length:
-            self.short_state[v] = v if v in self.short_of else self.short_state[self.suffix[v]]
-        self.least = min([size, *(m for m, _ in self.short_of.values())])
-        words = sorted({w for _, ws in items for w in ws})
-        data = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words]).astype(np.int64)
-        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-        self.known = np.zeros(_TABLE, bool)
-        if words:
-            self.known[(X.word_hashes(data, starts, ends) & np.uint64(_TABLE - 1)).astype(np.int64)] = True
-
-    def matches(self, words: list[bytes]) -> list[tuple[int, int, set[str]]]:
+            self.short_state[v] = v if v in lengths else self.short_state[self.suffix[v]]
+        self.least = min([size, *lengths.values()])
+        self.edges_at, self.edge_words, self.edge_ends = array("i", [0]), array("i"), array("i")
+        for edges in built.edges:
+            for w in sorted(edges):
+                self.edge_words.append(w)
+                self.edge_ends.append(edges[w])
+            self.edges_at.append(len(self.edge_words))
+
+    def __sizeof__(self) -> int:
+        """Bytes of all arrays."""
+        return sum(memoryview(x).nbytes for x in vars(self).values() if isinstance(x, array | np.ndarray)) + sum(map(len, self.names)) * 2
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of words by their hashes; -1 for those that no item has."""
+        out = np.full(len(hashes), -1, np.int64)
+        maybe = np.flatnonzero(self.known[(hashes & np.uint64(_TABLE - 1)).astype(np.int64)])
+        if len(maybe) and len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+            same = self.hashes[at] == hashes[maybe]
+            out[maybe[same]] = at[same]
+        return out
+
+    def _next(self, v: int, word: int) -> int:
+        """The state after ``word``, or 0."""
+        lo, hi = self.edges_at[v], self.edges_at[v + 1]
+        k = lo if hi - lo == 1 else bisect_left(self.edge_words, word, lo, hi)
+        return self.edge_ends[k] if k < hi and self.edge_words[k] == word else 0
+
+    def matches(self, words: list[int]) -> list[tuple[int, int, list[str]]]:
         """(first word, word after, items) of each window occurrence; the longest match is carried from word to word."""
-        found, edges, suffix, longest = [], self.edges, self.suffix, self.longest
+        found, suffix, longest, names = [], self.suffix, self.longest, self.names
         v = length = 0
         for k, w in enumerate(words, 1):
-            while v and w not in edges[v]:
+            to = self._next(v, w)
+            while v and not to:
                 v = suffix[v]
                 length = longest[v]
-            v = edges[v].get(w, 0)
+                to = self._next(v, w)
+            v = to
             length = length + 1 if v else 0
             if length >= self.window:
-                found.append((k - self.window, k, self.items_of[self.window_state[v]]))
+                s = self.window_state[v]
+                found.append((k - self.window, k, [names[i] for i in self.items[self.items_at[s] : self.items_at[s + 1]]]))
             s = self.short_state[v]
             while s:
-                m, names = self.short_of[s]
+                m = self.short_words[s]
                 if m <= length:
-                    found.append((k - m, k, names))
+                    found.append((k - m, k, [names[i] for i in self.short_items[self.short_at[s] : self.short_at[s + 1]]]))
                 s = self.short_state[suffix[s]]
         return found
 
@@ -142,9 +196,8 @@ def _scan(automata: list) -> callable:
             base = offsets[i]
             part = X.LOWER_BYTES[data[base : offsets[j]]]
             starts, ends, doc = X.word_bounds(part, offsets[i : j + 1] - base, SEPARATORS)
-            slots = (X.word_hashes(part, starts, ends) & np.uint64(_TABLE - 1)).astype(np.int64)
+            hashes = X.word_hashes(part, starts, ends)
             hit, names = np.zeros(len(starts), bool), {}
-            raw = part.tobytes()
             bounds = np.searchsorted(doc, np.arange(j - i + 1))
             if "hit_spans" in table.column_names:
                 for d in range(i, j):
@@ -154,13 +207,13 @@ def _scan(automata: list) -> callable:
                             hit[bounds[d - i] + span["first"] : bounds[d - i] + span["first"] + span["words"]] = True
             for shared in automata:
                 automaton = shared.value
-                known = automaton.known[slots]
+                numbers = automaton.numbers(hashes)
+                known = numbers >= 0
                 first = np.flatnonzero(known & np.concatenate(([True], ~known[:-1] | (doc[1:] != doc[:-1]))))
                 after = np.flatnonzero(known & np.concatenate((~known[1:] | (doc[1:] != doc[:-1]), [True]))) + 1
                 enough = after - first >= automaton.least
                 for a, b in zip(first[enough].tolist(), after[enough].tolist(), strict=True):
-                    words = [raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-                    for x, y, found in automaton.matches(words):
+                    for x, y, found in automaton.matches(numbers[a:b].tolist()):
                         hit[a + x : a + y] = True
                         names.setdefault(int(doc[a]), set()).update(found)
             n_words.append(np.diff(bounds))
@@ -196,8 +249,9 @@ def _broadcast(shard: DataFrame, window: int):
 def find_leaks(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) plus n_words, n_hit, item_ids (sorted as strings) and hit_spans (word position, words, byte bounds).
 
-    A null text has no words; a null item or item id takes no part; an item without words never occurs. Clashing columns
-    of ``docs`` give way. Items with one id count as one item.
+    A null text has no words; a null item or item id takes no part; an item without words never occurs. Texts are read
+    whole, however long; rows that repeat are read each by itself; an empty table on either side finds nothing. Clashing
+    columns of ``docs`` give way. Items with one id count as one item.
     """
     added = "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<first: long, words: long, start: long, end: long>>"
     shards = _shards(items, item_id, item_text)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import time
@@ -219,6 +220,15 @@ def test_leaks_over_several_automata(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got), key=str) == brute_leaks(rows, items)
 
 
+def test_an_automaton_takes_little_memory():
+    rng = random.Random(6)
+    vocabulary = [f"word{k}" for k in range(20000)]
+    items = [(str(k), [rng.choice(vocabulary).encode() for _ in range(60)]) for k in range(2500)]
+    size = sum(len(w) + 1 for _, ws in items for w in ws)
+    automaton = decontam.SuffixAutomaton(items)
+    assert automaton.__sizeof__() < 12 * size + (1 << 21) and len(pickle.dumps(automaton)) < 14 * size + (1 << 21)
+
+
 def test_cutting_leaks_out(spark):
     item = " ".join(f"secret{k}" for k in range(20))
     rows = [(1, f"Before é, {item.upper()}! after " + "word " * 60), (2, "clean text stays  as it is"), (3, item), (4, None)]
