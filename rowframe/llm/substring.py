@@ -7,21 +7,23 @@ one symbol, then pairs neighbouring symbols (left class, right class) under one
 the symbols alone, so the names are global: every executor gives equal word sequences the same interior symbols, with
 no dictionary to exchange.  With each phrase its *extent* is kept: the words that settled its parse.  A window's
 *anchor* is its highest-level phrase whose extent lies inside the window (ties by hash), so equal windows have equal
-anchors, wherever they stand.  (A window inside one long run has no such phrase; it is its own anchor.)
+anchors, wherever they stand.  (A window inside one long run has no such phrase; it is its own anchor.)  Rounds go on
+until no phrase fits into a window.
 
 *Rounds over the cluster* (``blocks``): 1. blocks send their distinct anchors; buckets tell which occur in two
-documents.  2. blocks send the distinct windows under such shared anchors with the smallest document of the block;
-buckets tell which have a smaller document elsewhere, which verifies each repeat over its whole word sequence.
-3. blocks mark covered words.  A passage held by a third of all documents costs a bucket one entry a block.
+documents.  2. blocks send the distinct windows under such shared anchors with the smallest and the largest document of
+the block; buckets answer with the windows that have a smaller document than the block's largest, and with that document,
+which verifies each repeat over its whole word sequence.  3. blocks mark covered words.  A passage held by a third of all
+documents costs a bucket one entry a block.
 
-Word sequences are compared by 64-bit hashes of mixed 64-bit word hashes.  Texts cross the network once: the exchange
-into blocks is reused by all three rounds.
+Word sequences are compared by 128-bit hashes (two of 64 bits) of mixed 64-bit word hashes.  Texts cross the network once:
+the exchange into blocks is reused by all three rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,11 @@ from rowframe.ship import ship
 
 #: Words of a window.
 WIDTH = 13
-#: Rounds of recompression; extents of later rounds are mostly wider than a window.
-ROUNDS = 2
 
 _FAR = np.int64(1) << np.int64(40)
 _U = np.uint64
+#: Upper bits of an anchor, for its level.
+_LEVEL_BITS = _U(5)
 
 
 def _runs(name, doc, left, right):
@@ -76,25 +78,23 @@ def _pairs(name, doc, left, right, level):
     return named, doc[j], lo, hi
 
 
-def anchors(words: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """The anchor of the window at each word: equal for equal windows. Only windows inside one document count."""
+def _highest(words: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """The highest-level phrase inside the window at each word: its level in the upper bits; 0 for a window without."""
     n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
     best = np.zeros(n, np.uint64)
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * X._power_table(X._PRIME, len(words)), out=total[1:])
     undo = X._power_table(X._PRIME_INVERSE, len(words) + 1)
     at = np.arange(len(words), dtype=np.int64)
     symbols = (words, doc, at, at)
-    for level in range(1, ROUNDS + 1):
+    for level in count(1):
         symbols = _pairs(*_runs(*symbols), level)
         _, _, lo, hi = symbols
         fits = (lo >= 0) & (hi < _FAR) & (hi - lo < width)
         if not fits.any():
-            break
+            return best
         lo, hi = lo[fits], hi[fits]
-        key = (X.mix((total[hi + 1] - total[lo]) * undo[lo] + (hi - lo).astype(np.uint64)) >> _U(2)) | _U(level << 62)
+        key = (X.mix((total[hi + 1] - total[lo]) * undo[lo] + (hi - lo).astype(np.uint64)) >> _LEVEL_BITS) | _U(level << 59)
         # a phrase serves the windows that start at most ``reach`` words before its extent
         reach = width - 1 - (hi - lo)
         most = int(reach.max())
@@ -105,12 +105,26 @@ def anchors(words: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> np.ndarra
             near[:-1] = np.maximum(near[:-1], near[1:])
             np.maximum(near, held[r], out=near)
         np.maximum(best, near[:n], out=best)
+
+
+def anchors(words: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The anchor of the window at each word: equal for equal windows. Only windows inside one document count."""
+    if len(words) < width:
+        return np.zeros(0, np.uint64)
+    best = _highest(words, doc, width)
     bare = best == 0
     if bare.any():
-        best[bare] = X.window_hashes(words, width, 7)[bare] >> _U(2)
+        best[bare] = X.window_hashes(words, width, 7)[bare] >> _LEVEL_BITS
     return X.mix(best)
 
 
+def anchored_by_level(words: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """How many windows inside one document have their anchor at each level (0: windows that are their own)."""
+    if len(words) < width:
+        return np.zeros(1, np.int64)
+    return np.bincount((_highest(words, doc, width) >> _U(59)).astype(np.int64)[X.windows_in_one_document(doc, width)])
+
+
 class _Block:
     """The documents of one block in the order of their ids, with their words' hashes."""
 
@@ -143,15 +157,17 @@ class _Block:
             docs.append(d[new])
         return np.concatenate(keys), np.concatenate(docs)
 
-    def windows(self, shared: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and documents of the windows whose anchor is in ``shared`` (sorted); keys() has found the anchors."""
-        hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    def windows(self, shared: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes and the documents of the windows whose anchor is in ``shared`` (sorted); keys() has found the anchors."""
+        one, two, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for (_, _, words, doc), own in zip(self.slabs, self.anchors, strict=True):
             at = np.flatnonzero(X.windows_in_one_document(doc, width))
             at = at[_among(own[at], shared)]
-            hashes.append(X.window_hashes(words, width, 1)[at])
-            docs.append(doc[at])
-        return np.concatenate(hashes), np.concatenate(docs)
+            if len(at):
+                one.append(X.window_hashes(words, width, 1)[at])
+                two.append(X.window_hashes(words, width, 2)[at])
+                docs.append(doc[at])
+        return np.concatenate(one), np.concatenate(two), np.concatenate(docs)
 
 
 def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -169,6 +185,13 @@ def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], docs[first], docs[last] != docs[first]
 
 
+def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs stand together (others as they came), and where each group starts."""
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    return order, np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))) if len(one) else np.zeros(0, np.int64)
+
+
 def _send_anchors(n_buckets: int, width: int):
     def send(table: pa.Table) -> pa.Table:
         keys, _, several = _distinct(*_Block(table).keys(width))
@@ -180,31 +203,26 @@ def _send_anchors(n_buckets: int, width: int):
 _REPLY = "block int, round int, bucket int, n int, reply binary"
 
 
-def _answer(rows: pa.Table, which: int, hit: np.ndarray) -> pa.Table:
-    counts = rows["n"].to_pylist()
-    cuts = np.concatenate(([0], np.cumsum(counts)))
-    bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"block": rows["block"], "round": pa.array([which] * len(bits), pa.int32()), "bucket": rows["bucket"], "n": rows["n"], "reply": pa.array(bits, pa.binary())})
-
-
 def _answer_anchors(rows: pa.Table) -> pa.Table:
-    """Which anchors occur in two documents, of one block or of two."""
-    keys, several = B.unpacked(rows["payload"].to_pylist(), rows["n"].to_pylist(), np.uint64, np.uint8)
-    _, group, count = np.unique(keys, return_inverse=True, return_counts=True)
-    weight = count + np.bincount(group, several, len(count)).astype(np.int64)
-    return _answer(rows, 1, weight[group] > 1)
+    """Which anchors occur in two documents, of one block or of two: a bit for each that a block sent."""
+    sent = rows["n"].to_pylist()
+    keys, several = B.unpacked(rows["payload"].to_pylist(), sent, np.uint64, np.uint8)
+    _, group, n = np.unique(keys, return_inverse=True, return_counts=True)
+    hit = (n + np.bincount(group, several, len(n)).astype(np.int64))[group] > 1
+    cuts = np.concatenate(([0], np.cumsum(sent)))
+    bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"block": rows["block"], "round": pa.array([1] * len(bits), pa.int32()), "bucket": rows["bucket"], "n": rows["n"], "reply": pa.array(bits, pa.binary())})
 
 
-def _replies(rows: pa.Table, which: int) -> np.ndarray:
-    """One flag for each key that the block sent in that round, in the order of the keys."""
-    own = sorted((b, n, reply) for r, b, n, reply in zip(*(rows[c].to_pylist() for c in ("round", "bucket", "n", "reply")), strict=True) if r == which)
-    flags = [np.unpackbits(np.frombuffer(reply, np.uint8), count=n).astype(bool) for _, n, reply in own]
-    return np.concatenate(flags) if flags else np.zeros(0, bool)
+def _of_round(rows: pa.Table, which: int) -> list[tuple[int, int, bytes]]:
+    return sorted((b, n, reply) for r, b, n, reply in zip(*(rows[c].to_pylist() for c in ("round", "bucket", "n", "reply")), strict=True) if r == which)
 
 
 def _shared(block: _Block, replies: pa.Table, width: int) -> np.ndarray:
+    """The block's anchors that occur in two documents, sorted."""
     keys, _, _ = _distinct(*block.keys(width))
-    return keys[_replies(replies, 1)] if len(keys) else keys
+    flags = [np.unpackbits(np.frombuffer(reply, np.uint8), count=n).astype(bool) for _, n, reply in _of_round(replies, 1)]
+    return keys[np.concatenate(flags)] if len(keys) else keys
 
 
 def _send_windows(n_buckets: int, width: int):
@@ -212,38 +230,55 @@ def _send_windows(n_buckets: int, width: int):
         if not table.num_rows:
             return B.PACKED_ARROW.empty_table()
         block = _Block(table)
-        hashes, docs, _ = _distinct(*block.windows(_shared(block, replies, width), width))
-        return B.packed(table["block"][0].as_py(), *B.bucket_cuts(hashes, n_buckets), hashes, block.ids[docs])
+        one, two, docs = block.windows(_shared(block, replies, width), width)
+        order, first = _grouped(one, two)
+        docs = block.ids[docs[order]]
+        last = np.append(first[1:], len(one)) - 1 if len(first) else first
+        return B.packed(table["block"][0].as_py(), *B.bucket_cuts(one[order][first], n_buckets), one[order][first], two[order][first], docs[first], docs[last])
 
     return send
 
 
 def _answer_windows(rows: pa.Table) -> pa.Table:
-    """Which windows start in a smaller document of another block."""
-    hashes, least = B.unpacked(rows["payload"].to_pylist(), rows["n"].to_pylist(), np.uint64, np.int64)
-    _, group = np.unique(hashes, return_inverse=True)
-    overall = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(overall, group, least)
-    return _answer(rows, 2, overall[group] < least)
+    """To each block the windows that start in a smaller document than its largest, and the smallest document of all."""
+    sent = rows["n"].to_pylist()
+    one, two, first, last = B.unpacked(rows["payload"].to_pylist(), sent, np.uint64, np.uint64, np.int64, np.int64)
+    order, starts = _grouped(one, two)
+    least = np.empty(len(one), np.int64)
+    if len(one):
+        least[order] = np.repeat(np.minimum.reduceat(first[order], starts), np.diff(np.append(starts, len(one))))
+    told, cuts, reply, n = least < last, np.concatenate(([0], np.cumsum(sent))), [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = np.flatnonzero(told[a:b]) + a
+        n.append(len(own))
+        reply.append(one[own].tobytes() + two[own].tobytes() + least[own].tobytes())
+    return pa.table({"block": rows["block"], "round": pa.array([2] * len(n), pa.int32()), "bucket": rows["bucket"], "n": pa.array(n, pa.int32()), "reply": pa.array(reply, pa.binary())})
 
 
 def _cover(width: int):
     def cover(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _KEPT_ARROW.empty_table()
-        block = _Block(table)
-        shared = _shared(block, replies, width)
-        known, first, _ = _distinct(*block.windows(shared, width))
-        elsewhere = _replies(replies, 2)
+        block, answers = _Block(table), _of_round(replies, 2)
+        known, second, least = B.unpacked([r for _, _, r in answers], [n for _, n, _ in answers], np.uint64, np.uint64, np.int64)
+        order = np.lexsort((second, known))
+        known, second, least = known[order], second[order], least[order]
         n_words, n_removed, kept = [], [], []
         for i, j, words, doc in block.slabs:
             gone = np.zeros(len(words), bool)
-            hashes = X.window_hashes(words, width, 1)
-            if len(known) and len(hashes):
+            if len(known) and len(words) >= width:
+                hashes = X.window_hashes(words, width, 1)
                 at = np.flatnonzero(X.windows_in_one_document(doc, width))
                 at = at[_among(hashes[at], known)]
-                slot = np.searchsorted(known, hashes[at])
-                at = at[elsewhere[slot] | (block.ids[doc[at]] > block.ids[first[slot]])]
+                hashes, other = hashes[at], X.window_hashes(words, width, 2)[at]
+                slot = np.searchsorted(known, hashes)
+                while True:
+                    past = np.minimum(slot + 1, len(known) - 1)
+                    unlike = (second[slot] != other) & (past > slot) & (known[past] == hashes)
+                    if not unlike.any():
+                        break
+                    slot[unlike] += 1
+                at = at[(second[slot] == other) & (least[slot] < block.ids[doc[at]])]
                 edge = np.zeros(len(words) + 1, np.int32)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + width, -1)
@@ -271,7 +306,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """doc_id, n_words, n_removed, kept_text (kept words, joined by one space): one row for each row of ``docs``.
 
     A null text has no words. Rows of one id do not remove each other's words; a null id counts as larger than any
-    other. Texts shorter than ``width`` words keep all. Extra columns of ``docs`` are left behind.
+    other. Texts shorter than ``width`` words keep all; all are read whole, however long. An empty table gives an empty
+    result. Extra columns of ``docs`` are left behind, whatever their names.
     """
     ship(docs.sparkSession)
     n_blocks, n_buckets = B.block_counts(docs.count())
@@ -279,8 +315,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     by_block = dealt.groupBy("block")
     first = by_block.applyInArrow(_send_anchors(n_buckets, width), B.PACKED).groupBy("bucket").applyInArrow(_answer_anchors, _REPLY)
     second = by_block.cogroup(first.groupBy("block")).applyInArrow(_send_windows(n_buckets, width), B.PACKED)
-    both = first.unionAll(second.groupBy("bucket").applyInArrow(_answer_windows, _REPLY))
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(_cover(width), _KEPT)
+    answers = second.groupBy("bucket").applyInArrow(_answer_windows, _REPLY)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_cover(width), _KEPT)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -172,6 +172,18 @@ def test_equal_windows_have_equal_anchors():
             assert seen.setdefault(words[k : k + 13].tobytes(), keys[k]) == keys[k]
 
 
+def test_windows_are_anchored_by_phrases(spark):
+    """Most windows of ordinary text have a phrase of recompression inside; rounds end by themselves."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    total = np.zeros(32, np.int64)
+    for r in rows:
+        data = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        starts, ends, doc = substring.X.word_bounds(data, np.array([0, len(data)]), substring.X.SPACE_BYTES)
+        levels = substring.anchored_by_level(substring.X.word_hashes(data, starts, ends), doc)
+        total[: len(levels)] += levels
+    assert total[0] < 0.05 * total.sum() and total[3:].sum() > 0
+
+
 # ------------------------------------------------------------------------------------------------- 3 decontamination
 
 
