@@ -162,11 +162,13 @@ def _pack_shard(size: int):
 def pack(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     """token_pieces() of ``docs`` with sequence_id and offset: gapless sequences of at most ``size`` tokens.
 
-    Rows that repeat are packed as often as they stand there; a null id is packed like any other.
+    Rows that repeat are packed as often as they stand there, and rows without an id are dealt by their partitions, so
+    that many equal ones do not meet in one shard. Texts are read whole, however long; an empty table gives an empty
+    result; other columns are left behind.
     """
     shards = max(1, docs.count() // SHARD_DOCS)
     pieces = token_pieces(docs, size=size, **options)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.when(F.col("doc_id").isNull(), F.spark_partition_id())), F.lit(shards)).cast("int"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.groupBy("shard").applyInArrow(_pack_shard(size), f"{schema}, sequence_id long, offset long")
 

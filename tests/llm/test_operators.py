@@ -346,6 +346,18 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_runs_in_the_jvm(spark):
+    plan = chat.op5_chat_format(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_one_very_long_conversation(spark):
+    rows = [(1, k, ("user", "assistant")[k // 2 % 2], f"turn {k} <|im_end|>") for k in range(20000)]
+    made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    turns = made.select(chat.read_back(F.col("formatted")).alias("t")).first()["t"]
+    assert [t["text"] for t in turns] == [r[3] for r in rows] and [t["role"] for t in turns] == [r[2] for r in rows]
+
+
 # -------------------------------------------------------------------------------------------------------- 6 languages
 
 
@@ -525,6 +537,16 @@ def test_near_duplicates_of_shared_ids(spark):
 
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(40000)}" for _ in range(30000)]
+    near = [w if k % 900 else "changed" for k, w in enumerate(words)]
+    far = [f"w{rng.randrange(40000)}" for _ in range(30000)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(far)), (4, " ".join(far)), (5, "w1 w2")]
+    got = jaccard.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in got), key=str) == brute_links(rows)
+
+
 def test_depth_meets_the_recall():
     d = jaccard.cut_depth()
     assert jaccard.met(0.8, d) >= jaccard.RECALL > jaccard.met(0.8, d + 1)
