@@ -377,6 +377,21 @@ def merge_one_to_one(spark, sf_dir):
     return a.merge_with(b, "k").df
 
 
+@query("""
+WITH a AS (SELECT c_nationkey AS k, c_custkey AS x FROM customer), b AS (SELECT s_nationkey AS k, s_suppkey AS y FROM supplier)
+SELECT coalesce(a.k, b.k) AS k, x, y FROM a FULL JOIN b ON a.k = b.k AND a.x = b.y
+""")
+def merge_by_a_test_within_groups(spark, sf_dir):
+    a = _t(spark, sf_dir, "customer").transform(lambda r: {"k": r.c_nationkey, "x": r.c_custkey})
+    b = _t(spark, sf_dir, "supplier").transform(lambda r: {"k": r.s_nationkey, "y": r.s_suppkey})
+    return a.merge_with(b, lambda left, right: left["x"] == right["y"], within="k").df.select("k", "x", "y")
+
+
+@query("SELECT o_orderkey, c_custkey FROM orders FULL JOIN customer ON false")
+def join_of_unlike_keys(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), "o_orderkey", "c_name", "outer").df.select("o_orderkey", "c_custkey")
+
+
 # ------------------------------------------------------------------------------------------------------------ ordering
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowframe.errors import RowFrameError
 from rowframe.operators.base import HIDDEN, Columns, Key, as_column
 from rowframe.operators.columns import q
 from rowframe.operators.rows import RowOperators
+from rowframe.ship import ship
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
@@ -22,6 +25,15 @@ def _same_kind(a: T.DataType | None, b: T.DataType | None) -> bool:
     return (isinstance(a, T.NumericType) and isinstance(b, T.NumericType)) or type(a) is type(b)
 
 
+def _never(left, right) -> Column:
+    """A condition that no two rows meet, by keys that spread both sides evenly: no side is sent whole."""
+
+    def key(frame, side: str) -> Column:
+        return F.concat(F.lit(side), F.xxhash64(*[F.col(f"{side}.`{c}`") for c in frame.columns]).cast("string"))
+
+    return key(left, "l") == key(right, "r")
+
+
 class _Side:
     """One side of a join inside a projection: its columns, NULL where the side has no row."""
 
@@ -44,7 +56,7 @@ class JoinOperators(RowOperators):
         r_hidden = [F.col(k.name).alias(f"__r{i}") for i, k in enumerate(other._keys)]
         a = self._df.select(*[q(c) for c in self.columns], F.lit(True).alias("__hit"), *l_hidden).alias("l")
         b = other._df.select(*[q(c) for c in other.columns], F.lit(True).alias("__hit"), *r_hidden).alias("r")
-        meets = F.col(f"l.`{left}`").eqNullSafe(F.col(f"r.`{right}`")) if _same_kind(self._kind(left), other._kind(right)) else F.lit(False)
+        meets = F.col(f"l.`{left}`").eqNullSafe(F.col(f"r.`{right}`")) if _same_kind(self._kind(left), other._kind(right)) else _never(self, other)
         joined = a.join(b, meets, JOINS[how])
         mine, theirs = _Side(self, "l"), _Side(other, "r")
         if select:
@@ -57,16 +69,18 @@ class JoinOperators(RowOperators):
         keys = [Key(f"{HIDDEN}0"), *[Key(f"{HIDDEN}{1 + k}", key.descending, key.nulls_first) for k, key in enumerate((*self._keys, *other._keys))]]
         return self._with(joined.select(*visible, *[c.alias(k.name) for c, k in zip(names, keys, strict=True)]), keys)
 
-    def merge_with(self, other, on: str | Sequence[str] | Callable[[dict, dict], bool], merge: Callable | None = None, limit: int = 10_000):
+    def merge_with(self, other, on: str | Sequence[str] | Callable[[dict, dict], bool], merge: Callable | None = None, limit: int = 10_000, within: str | Sequence[str] = ()):
         """A full one-to-one merge: each row takes the first unused equal row of ``other``; what is left over stays.
 
         ``on``: columns whose equality decides; then equal rows are numbered on both sides and meet in one full join.
         An arbitrary test on row dicts is inherently a sequential pass: both sides come to the driver, which refuses
-        more than ``limit`` rows. ``merge`` combines two matched rows (Columns, or dicts with a test); by default the
+        more than ``limit`` rows. With ``within``, only rows equal in those columns are tested with each other: each such
+        group is a pass of its own on the executors, of any number of groups. ``merge`` combines two matched rows (Columns, or dicts with a test); by default the
         right side's values win.
         """
         if callable(on):
-            return self._merge_by_test(other, on, merge, limit)
+            names = [within] if isinstance(within, str) else list(within)
+            return self._merge_within(other, on, merge, names) if names else self._merge_by_test(other, on, merge, limit)
         names = [on] if isinstance(on, str) else list(on)
         a, b = self._numbered(names, "__l"), other._numbered(names, "__r")
         test = F.lit(True)
@@ -95,6 +109,29 @@ class JoinOperators(RowOperators):
         hidden = [F.col(k.name).alias(f"{prefix}{i}") for i, k in enumerate(self._keys)]
         return self._df.select(*[q(c) for c in self.columns], F.lit(True).alias("__hit"), nth.alias("__nth"), *hidden)
 
+    def _merge_within(self, other, test: Callable[[dict, dict], bool], merge: Callable | None, names: list[str]):
+        """_merge_by_test() in every group of rows that are equal in ``names``; left rows first, then what is left over."""
+        ship(self.spark)
+        fields = {f.name: f for f in [*other.schema, *self.schema]}
+        visible = T.StructType([fields[n] for n in dict.fromkeys([*self.columns, *other.columns])])
+        order = [T.StructField(f"{HIDDEN}{k}", T.LongType()) for k in range(2)]
+        combine = merge or (lambda a, b: {**a, **b})
+        arrow = to_arrow_schema(T.StructType([*visible.fields, *order]))
+        left, right = self.with_row_index("__at"), other.with_row_index("__at")
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            mine, theirs = (sorted(t.to_pylist(), key=lambda r: r["__at"]) for t in (a, b))
+            out = []
+            for row in mine:
+                at = next((k for k, r in enumerate(theirs) if test(row, r)), None)
+                made = dict(row) if at is None else dict(combine(row, theirs.pop(at)))
+                out.append({**made, f"{HIDDEN}0": 0, f"{HIDDEN}1": row["__at"]})
+            out += [{**r, f"{HIDDEN}0": 1, f"{HIDDEN}1": r["__at"]} for r in theirs]
+            return pa.Table.from_pylist([{f.name: r.get(f.name) for f in arrow} for r in out], schema=arrow)
+
+        met = left.df.groupBy(*[q(n) for n in names]).cogroup(right.df.groupBy(*[q(n) for n in names]))
+        return self._with(met.applyInArrow(run, T.StructType([*visible.fields, *order])), [Key(f"{HIDDEN}0"), Key(f"{HIDDEN}1")])
+
     def _merge_by_test(self, other, test: Callable[[dict, dict], bool], merge: Callable | None, limit: int):
         sides = []
         for frame in (self, other):
