@@ -11,12 +11,12 @@ anchors, wherever they stand.  (A window inside one long run has no such phrase;
 until no phrase fits into a window.
 
 *Rounds over the cluster* (``blocks``): 1. blocks send their distinct anchors; buckets tell which occur in two
-documents.  2. blocks send the distinct windows under such shared anchors with the smallest and the largest document of
-the block; buckets answer with the windows that have a smaller document than the block's largest, and with that document,
-which verifies each repeat over its whole word sequence.  3. blocks mark covered words.  A passage held by a third of all
+documents.  2. blocks send the distinct windows under such shared anchors with the smallest document of the block; buckets
+answer with the windows that have a smaller document elsewhere, or several in the block, which verifies each repeat over
+its whole word sequence.  3. blocks mark covered words.  A passage held by a third of all
 documents costs a bucket one entry a block.
 
-Word sequences are compared by 128-bit hashes (two of 64 bits) of mixed 64-bit word hashes.  Texts cross the network once:
+Word sequences are compared by 96-bit hashes (of 64 and 32 bits) of mixed 64-bit word hashes.  Texts cross the network once:
 the exchange into blocks is reused by all three rounds.
 """
 
@@ -39,8 +39,10 @@ WIDTH = 13
 
 _FAR = np.int64(1) << np.int64(40)
 _U = np.uint64
-#: Upper bits of an anchor, for its level.
+#: Upper bits of a phrase's key, for its level.
 _LEVEL_BITS = _U(5)
+#: What is sent of an anchor: 47 bits, with one left for a flag. Anchors that are equal by accident are verified away.
+_ANCHOR_BITS = ~_U((1 << 17) - 1)
 
 
 def _runs(name, doc, left, right):
@@ -115,7 +117,7 @@ def anchors(words: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> np.ndarra
     bare = best == 0
     if bare.any():
         best[bare] = X.window_hashes(words, width, 7)[bare] >> _LEVEL_BITS
-    return X.mix(best)
+    return X.mix(best) & _ANCHOR_BITS
 
 
 def anchored_by_level(words: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -159,13 +161,13 @@ class _Block:
 
     def windows(self, shared: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Both hashes and the documents of the windows whose anchor is in ``shared`` (sorted); keys() has found the anchors."""
-        one, two, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        one, two, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for (_, _, words, doc), own in zip(self.slabs, self.anchors, strict=True):
             at = np.flatnonzero(X.windows_in_one_document(doc, width))
             at = at[_among(own[at], shared)]
             if len(at):
                 one.append(X.window_hashes(words, width, 1)[at])
-                two.append(X.window_hashes(words, width, 2)[at])
+                two.append(_second(words, width)[at])
                 docs.append(doc[at])
         return np.concatenate(one), np.concatenate(two), np.concatenate(docs)
 
@@ -185,6 +187,11 @@ def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], docs[first], docs[last] != docs[first]
 
 
+def _second(words: np.ndarray, width: int) -> np.ndarray:
+    """The other 32 bits of a window's name."""
+    return (X.window_hashes(words, width, 2) >> _U(32)).astype(np.uint32)
+
+
 def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal pairs stand together (others as they came), and where each group starts."""
     order = np.lexsort((two, one))
@@ -195,7 +202,7 @@ def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _send_anchors(n_buckets: int, width: int):
     def send(table: pa.Table) -> pa.Table:
         keys, _, several = _distinct(*_Block(table).keys(width))
-        return B.packed(table["block"][0].as_py(), *B.bucket_cuts(keys, n_buckets), keys, several.astype(np.uint8))
+        return B.packed(table["block"][0].as_py(), *B.bucket_cuts(keys, n_buckets), (keys >> _U(32)).astype(np.uint32), (keys >> _U(16)).astype(np.uint16) | several)
 
     return send
 
@@ -206,9 +213,9 @@ _REPLY = "block int, round int, bucket int, n int, reply binary"
 def _answer_anchors(rows: pa.Table) -> pa.Table:
     """Which anchors occur in two documents, of one block or of two: a bit for each that a block sent."""
     sent = rows["n"].to_pylist()
-    keys, several = B.unpacked(rows["payload"].to_pylist(), sent, np.uint64, np.uint8)
-    _, group, n = np.unique(keys, return_inverse=True, return_counts=True)
-    hit = (n + np.bincount(group, several, len(n)).astype(np.int64))[group] > 1
+    high, low = B.unpacked(rows["payload"].to_pylist(), sent, np.uint32, np.uint16)
+    _, group, n = np.unique(high.astype(np.uint64) << _U(16) | low >> np.uint16(1) << np.uint16(1), return_inverse=True, return_counts=True)
+    hit = (n + np.bincount(group, low & np.uint16(1), len(n)).astype(np.int64))[group] > 1
     cuts = np.concatenate(([0], np.cumsum(sent)))
     bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.table({"block": rows["block"], "round": pa.array([1] * len(bits), pa.int32()), "bucket": rows["bucket"], "n": rows["n"], "reply": pa.array(bits, pa.binary())})
@@ -234,24 +241,25 @@ def _send_windows(n_buckets: int, width: int):
         order, first = _grouped(one, two)
         docs = block.ids[docs[order]]
         last = np.append(first[1:], len(one)) - 1 if len(first) else first
-        return B.packed(table["block"][0].as_py(), *B.bucket_cuts(one[order][first], n_buckets), one[order][first], two[order][first], docs[first], docs[last])
+        return B.packed(table["block"][0].as_py(), *B.bucket_cuts(one[order][first], n_buckets), one[order][first], two[order][first], docs[first], (docs[last] > docs[first]).astype(np.uint8))
 
     return send
 
 
 def _answer_windows(rows: pa.Table) -> pa.Table:
-    """To each block the windows that start in a smaller document than its largest, and the smallest document of all."""
+    """To each block the windows of it that start in a smaller document: one of another block, or (0) one of its own."""
     sent = rows["n"].to_pylist()
-    one, two, first, last = B.unpacked(rows["payload"].to_pylist(), sent, np.uint64, np.uint64, np.int64, np.int64)
+    one, two, first, several = B.unpacked(rows["payload"].to_pylist(), sent, np.uint64, np.uint32, np.int64, np.uint8)
     order, starts = _grouped(one, two)
     least = np.empty(len(one), np.int64)
     if len(one):
         least[order] = np.repeat(np.minimum.reduceat(first[order], starts), np.diff(np.append(starts, len(one))))
-    told, cuts, reply, n = least < last, np.concatenate(([0], np.cumsum(sent))), [], []
+    elsewhere, cuts, reply, n = least < first, np.concatenate(([0], np.cumsum(sent))), [], []
+    told = elsewhere | (several > 0)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = np.flatnonzero(told[a:b]) + a
         n.append(len(own))
-        reply.append(one[own].tobytes() + two[own].tobytes() + least[own].tobytes())
+        reply.append(one[own].tobytes() + two[own].tobytes() + elsewhere[own].astype(np.uint8).tobytes())
     return pa.table({"block": rows["block"], "round": pa.array([2] * len(n), pa.int32()), "bucket": rows["bucket"], "n": pa.array(n, pa.int32()), "reply": pa.array(reply, pa.binary())})
 
 
@@ -260,9 +268,10 @@ def _cover(width: int):
         if not table.num_rows:
             return _KEPT_ARROW.empty_table()
         block, answers = _Block(table), _of_round(replies, 2)
-        known, second, least = B.unpacked([r for _, _, r in answers], [n for _, n, _ in answers], np.uint64, np.uint64, np.int64)
+        known, second, elsewhere = B.unpacked([r for _, _, r in answers], [n for _, n, _ in answers], np.uint64, np.uint32, np.uint8)
         order = np.lexsort((second, known))
-        known, second, least = known[order], second[order], least[order]
+        known, second, elsewhere = known[order], second[order], elsewhere[order] > 0
+        first = np.full(len(known), np.iinfo(np.int64).max)
         n_words, n_removed, kept = [], [], []
         for i, j, words, doc in block.slabs:
             gone = np.zeros(len(words), bool)
@@ -270,7 +279,7 @@ def _cover(width: int):
                 hashes = X.window_hashes(words, width, 1)
                 at = np.flatnonzero(X.windows_in_one_document(doc, width))
                 at = at[_among(hashes[at], known)]
-                hashes, other = hashes[at], X.window_hashes(words, width, 2)[at]
+                hashes, other = hashes[at], _second(words, width)[at]
                 slot = np.searchsorted(known, hashes)
                 while True:
                     past = np.minimum(slot + 1, len(known) - 1)
@@ -278,7 +287,11 @@ def _cover(width: int):
                     if not unlike.any():
                         break
                     slot[unlike] += 1
-                at = at[(second[slot] == other) & (least[slot] < block.ids[doc[at]])]
+                same = second[slot] == other
+                at, slot = at[same], slot[same]
+                # documents ascend from slab to slab, so the first of a window is known here
+                np.minimum.at(first, slot, block.ids[doc[at]])
+                at = at[elsewhere[slot] | (first[slot] < block.ids[doc[at]])]
                 edge = np.zeros(len(words) + 1, np.int32)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + width, -1)
