@@ -34,7 +34,7 @@ from rowframe.llm import blocks as B
 from rowframe.llm import text as X
 from rowframe.llm.components import components
 from rowframe.llm.durable import durable
-from rowframe.llm.rows import brought_back, set_aside
+from rowframe.llm.rows import brought_back, release, set_aside
 from rowframe.ship import ship
 
 #: Words of a shingle, threshold, trees, deepest prefix, share of all links aimed at.
@@ -130,6 +130,7 @@ def _sign(width: int, trees: int, depth: int):
                     values[k, rows] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
             signature = [None if e else v.tobytes() for e, v in zip(empty.tolist(), np.ascontiguousarray(values.T), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signature, pa.binary())], names=["doc", "digest", "signature"])
+        release()
 
     return sign
 
@@ -184,6 +185,7 @@ def _meet_at_sender(depth: int, n_buckets: int):
                 nodes, signatures, n = [], [], 0
         if n:
             yield send(nodes, signatures)
+        release()
 
     return meet
 
@@ -301,6 +303,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = ~np.isin(nodes, seen)
         seen = np.union1d(seen, nodes[new])
         yield batch.take(pa.array(np.sort(first[new])))
+    release()
 
 
 def _check(width: int, threshold: Fraction):
