@@ -31,8 +31,9 @@ from rowframe.ship import ship
 #: States, frequent words, classes of endings, passes of Baum-Welch at most, words of a stretch, smoothing of a class's
 #: count.
 STATES, FREQUENT, HASHED, PASSES, STRETCH, SMOOTH = 6, 1023, 1024, 4, 64, 0.1
-#: Gain of a pass in log-likelihood a token below which training ends, and tokens that a pass holds at a time, about.
-GAIN, PASS_TOKENS = 1e-3, 1 << 19
+#: Gain of a pass in log-likelihood a token below which training ends, tokens that a pass holds at a time, about, and
+#: tokens of a row there.
+GAIN, PASS_TOKENS, ROW = 1e-3, 1 << 19, 512
 #: Added to a word's count.
 ADDED = 0.1
 #: Documents of a block here: larger blocks share more of their words.
@@ -77,22 +78,40 @@ def _block_words(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield i, j, *_tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _distinct_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct tokens of a block, their counts in training documents, and their ending classes."""
+def _grouped(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries, sorted, and the place of each entry among them: hashed, so only distinct ones are sorted."""
+    coded = pa.array(words).dictionary_encode()
+    own = coded.dictionary.to_numpy()
+    order = np.argsort(own)
+    place = np.empty(len(own), np.int32)
+    place[order] = np.arange(len(own), dtype=np.int32)
+    return own[order], place[coded.indices.to_numpy()]
+
+
+def _distinct_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Sorted distinct tokens of a block, their counts in training documents, their ending classes, and by slab of
+    documents each token's place among the distinct ones and the documents' bounds."""
     train = table["train"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-    parts = []
+    parts, slabs = [], []
     for i, _, words, ending, bounds in _block_words(table):
         counted = np.repeat(train[i : i + len(bounds) - 1], np.diff(bounds))
-        own, first, group = np.unique(words, return_index=True, return_inverse=True)
-        parts.append((own, np.bincount(group, counted, len(own)).astype(np.int64), ending[first]))
+        own, group = _grouped(words)
+        kind = np.empty(len(own), np.int64)
+        kind[group] = ending
+        parts.append((own, np.bincount(group, counted, len(own)).astype(np.int64), kind))
+        slabs.append((group, bounds))
     words, counts, ending = (np.concatenate(x) for x in zip(*parts, strict=True))
-    own, first, group = np.unique(words, return_index=True, return_inverse=True)
-    return own, np.bincount(group, counts, len(own)).astype(np.int64), ending[first]
+    own, group = _grouped(words)
+    kind = np.empty(len(own), np.int64)
+    kind[group] = ending
+    cuts = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
+    placed = [(group[a:b][g], bounds) for a, b, (g, bounds) in zip(cuts[:-1], cuts[1:], slabs, strict=True)]
+    return own, np.bincount(group, counts, len(own)).astype(np.int64), kind, placed
 
 
 def _send_words(n_buckets: int):
     def send(table: pa.Table) -> pa.Table:
-        words, counts, ending = _distinct_words(table)
+        words, counts, ending, _ = _distinct_words(table)
         return B.packed(table["block"][0].as_py(), *B.bucket_cuts(words, n_buckets), words, counts.astype(np.uint32), ending.astype(np.uint16))
 
     return send
@@ -214,14 +233,60 @@ def _stretches(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return out, doc, starts
 
 
+def _across(model: Model, emit: np.ndarray, cuts: np.ndarray, rank: np.ndarray, sizes: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a document: the states' shares before it, and how well each state at its end explains the rest.
+
+    Both are exact but for their scale: the rows' transfer matrices are multiplied in the order of the document.
+    """
+    k = len(model.start)
+    before, after = np.ones((len(sizes), k), np.float32), np.ones((len(sizes), k), np.float32)
+    tail = np.append(head[1:], True)
+    rows = np.flatnonzero(~(head & tail))
+    if not len(rows):
+        return before, after
+    rows = rows[np.argsort(rank[rows])]
+    places, starts, move = rank[rows], head[rows], model.move.astype(np.float32)
+    running = np.searchsorted(-sizes[rows], -np.arange(int(sizes[rows].max())), side="left")
+    lanes = np.where(starts[:, None, None], np.eye(k, dtype=np.float32), move)
+    for t, n in enumerate(running.tolist()):
+        e = emit[cuts[t] + places[:n]]
+        own = lanes[:n]
+        if t:
+            own = (own.reshape(n * k, k) @ move).reshape(n, k, k)
+        own *= (e / e.max(axis=1, keepdims=True))[:, None, :]
+        if t % 2:
+            own /= own.max(axis=(1, 2), keepdims=True)
+        lanes[:n] = own
+    matrix = np.empty_like(lanes)
+    matrix[np.argsort(np.argsort(rows))] = lanes
+    at = np.full(len(sizes), -1)
+    at[np.sort(rows)] = np.arange(len(rows))
+    first = np.flatnonzero(head & ~tail)
+    count = np.flatnonzero(tail & ~head) - first + 1
+    state, rest = np.broadcast_to(model.start.astype(np.float32), (len(first), k)).copy(), np.ones((len(first), k), np.float32)
+    for r in range(int(count.max())):
+        here = np.flatnonzero(count > r)
+        front, back = first[here] + r, first[here] + count[here] - 1 - r
+        before[front], after[back] = state[here], rest[here]
+        moved = np.einsum("nk,nkj->nj", state[here], matrix[at[front]])
+        state[here] = moved / moved.sum(axis=1, keepdims=True)
+        moved = np.einsum("nkj,nj->nk", matrix[at[back]], rest[here])
+        rest[here] = moved / moved.max(axis=1, keepdims=True)
+    return before, after
+
+
 def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Expected start, transition and emission counts of whole documents, by scaled forward-backward; then their
     log-likelihood and tokens.
 
-    Documents run side by side, longest first, so those still running at a step are the first ones.
+    Documents run side by side in rows of at most ``ROW`` tokens, longest first, so those still running at a step are the
+    first ones. A row of a longer document starts and ends with the messages of the rows before and after it.
     """
     k = len(model.start)
-    sizes = np.diff(bounds)
+    per_doc = -(-np.diff(bounds) // ROW)
+    within = np.arange(int(per_doc.sum())) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    bounds = np.append(np.repeat(bounds[:-1], per_doc) + within * ROW, len(classes))
+    head, sizes = within == 0, np.diff(bounds)
     order = np.argsort(-sizes, kind="stable")
     rank = np.empty(len(sizes), np.int64)
     rank[order] = np.arange(len(sizes))
@@ -233,8 +298,9 @@ def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np
     tokens[at_step[step] + np.repeat(rank, sizes)] = classes
     emit = model.emit.T.astype(np.float32)[tokens]
     move = model.move.astype(np.float32)
+    before, after_row = (x[order] for x in _across(model, emit, at_step, rank, sizes, head))
     forward, scale = np.empty((len(tokens), k), np.float32), np.empty((len(tokens), 1), np.float32)
-    at = np.broadcast_to(model.start.astype(np.float32), (len(sizes), k))
+    at = np.where(head[order][:, None], model.start.astype(np.float32), before @ move)
     cuts = at_step.tolist()
     for t in range(most):
         here = slice(cuts[t], cuts[t + 1])
@@ -242,6 +308,8 @@ def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np
         scale[here] = at.sum(axis=1, keepdims=True)
         at /= scale[here]
         forward[here] = at
+    ended = forward[at_step[sizes[order] - 1] + np.arange(len(sizes))]
+    after_row /= (ended * after_row).sum(axis=1, keepdims=True)
     moved = np.zeros((k, k))
     ahead = np.zeros((0, k), np.float32)
     for t in range(most - 1, -1, -1):
@@ -254,9 +322,14 @@ def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np
             after = ahead @ move.T
             own[:n] *= after
             next_[:n] *= after
+        if n < len(own):
+            own[n:] *= after_row[n : len(own)]
+            next_[n:] *= after_row[n : len(own)]
         ahead = next_
+    later = np.flatnonzero(~head)
+    moved += ended[rank[later - 1]].T @ ahead[rank[later]]
     emitted = np.stack([np.bincount(tokens, forward[:, s], CLASSES) for s in range(k)])
-    started = forward[: len(sizes)].sum(axis=0, dtype=float)
+    started = forward[: len(sizes)][head[order]].sum(axis=0, dtype=float)
     return np.concatenate([started, (moved * move).ravel(), emitted.ravel(), [np.log(scale, dtype=float).sum(), len(tokens)]])
 
 
@@ -369,18 +442,16 @@ def _score(shared):
         if not table.num_rows:
             return _SCORED_ARROW.empty_table()
         vocabulary, model = shared.value
-        own, _, _ = _distinct_words(table)
+        own, _, ending, slabs = _distinct_words(table)
         answers = sorted(zip(replies["bucket"].to_pylist(), replies["payload"].to_pylist(), strict=True))
-        known = np.concatenate([np.frombuffer(p, np.int64) for _, p in answers])
+        counts = np.concatenate([np.frombuffer(p, np.int64) for _, p in answers])
         n, v = vocabulary.n_tokens, vocabulary.n_kinds
+        kinds = _classes(own, ending, vocabulary.frequent)
+        plain, within, known = np.log10((counts + ADDED) / (n + ADDED * (v + 1))), vocabulary.log10_word(counts, kinds), (counts > 0).astype(np.int64)
         columns = [[], [], [], []]
-        for _, _, words, ending, bounds in _block_words(table):
-            counts = known[np.searchsorted(own, words)]
-            classes = _classes(words, ending, vocabulary.frequent)
-            at = bounds[:-1]
-            base = np.add.reduceat(np.log10((counts + ADDED) / (n + ADDED * (v + 1))), at)
-            inside = np.add.reduceat(vocabulary.log10_word(counts, classes), at)
-            for column, values in zip(columns, (np.diff(bounds), np.add.reduceat((counts > 0).astype(np.int64), at), base, inside + sequence_log10(model, classes, bounds)), strict=True):
+        for words, bounds in slabs:
+            sums = [np.add.reduceat(x[words], bounds[:-1]) for x in (known, plain, within)]
+            for column, values in zip(columns, (np.diff(bounds), sums[0], sums[1], sums[2] + sequence_log10(model, kinds[words], bounds)), strict=True):
                 column.append(values)
         tokens, seen, base, total = (np.concatenate(c) for c in columns)
         return pa.table([table["doc_id"], table["train"], pa.array(tokens), pa.array(seen), pa.array(np.full(len(tokens), n)), pa.array(base), pa.array(total)], schema=_SCORED_ARROW)

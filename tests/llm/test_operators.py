@@ -677,9 +677,11 @@ def test_forward_is_exact_and_training_helps():
         before = after
 
 
-def test_expected_counts_are_those_of_whole_documents():
+@pytest.mark.parametrize("row", [1, 16, 64, 512])
+def test_expected_counts_are_those_of_whole_documents(monkeypatch, row):
+    monkeypatch.setattr(hmm, "ROW", row)
     rng = np.random.default_rng(4)
-    sizes = [1, 130, 64, 2, 65]
+    sizes = [1, 130, 64, 2, 65, 1300]
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     classes = rng.integers(0, hmm.CLASSES, bounds[-1])
     soft = lambda *s: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(s) + 0.01)
