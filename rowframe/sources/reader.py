@@ -69,6 +69,29 @@ def _without_first_lines(lines: DataFrame, n: int, n_files: int) -> DataFrame:
     return joined.where((block != 0) | (at >= F.col("__first") + n)).select(*lines.columns)
 
 
+#: Lines in which the first record is looked for at first, and at most: comments and quoted line feeds may stand before its end.
+FEW_LINES, HEADER_LINES = 50, 50 << 12
+
+
+def _first_record(spark: SparkSession, path: str, d: Dialect) -> list[str]:
+    """The cells of the first record, from as many lines as it takes; none if there is no record."""
+    n = FEW_LINES
+    while True:
+        lines = _first_lines(spark, path, n, d)
+        last = len(lines) < n
+        try:
+            head = parse("\n".join(lines), replace(d, columns=False, to_record=1, relax_column_count=True))[1]
+        except RowFrameError:
+            if last:
+                raise
+            head = []
+        if head or last:
+            return head[0] if head else []
+        if n >= HEADER_LINES:
+            raise RowFrameError(f"no record ends within the first {n} lines of {path}")
+        n *= 16
+
+
 def _names(first: list[str], d: Dialect) -> list[str]:
     if isinstance(d.columns, list):
         return list(d.columns)
@@ -92,11 +115,10 @@ def _scan(spark: SparkSession, path: str, d: Dialect) -> tuple[DataFrame, list[K
         return kept.select(cells.alias("c"), *[k.name for k in keys]).select("c.*", *[k.name for k in keys]), keys
     if d.from_line > 1:
         return _whole_files(spark, path, d, None)
-    first = _first_lines(spark, path, 50, d)
-    head = parse("\n".join(first), replace(d, columns=False, to_record=1, relax_column_count=True))[1]
+    head = _first_record(spark, path, d)
     if not head:
         return spark.createDataFrame([], T.StructType([T.StructField(f"{HIDDEN}0", T.LongType())])), [Key(f"{HIDDEN}0")]
-    names = _names(head[0], d)
+    names = _names(head, d)
     rows = spark.read.options(**d.reader_options()).option("header", named).schema(_strings(names)).csv(path)
     keyed, keys = _keyed(rows)
     return keyed.na.fill("", names), keys

@@ -53,6 +53,15 @@ def test_preamble(spark, tmp_path, multiline):
     assert open(out).read() == "# made by\n# someone\n# today\nid,v\n2,b\n"
 
 
+@pytest.mark.parametrize("before", [0, 70, 900])
+def test_header_after_many_lines(spark, tmp_path, before):
+    path = tmp_path / "late.csv"
+    path.write_text("# note, of no use\n" * before + "id,name\n1,a\n2,b\n")
+    assert from_file(spark, str(path), Dialect(comment="#")).to_array() == [{"id": "1", "name": "a"}, {"id": "2", "name": "b"}]
+    path.write_text('id,"' + "long\n" * before + 'name"\n1,a\n')
+    assert from_file(spark, str(path), Dialect()).to_array() == [{"id": "1", "long\n" * before + "name": "a"}]
+
+
 def test_dialects(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_text("%c\na;b\n 1 ;2\n\n3;4\n5;6\n")
