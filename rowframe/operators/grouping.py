@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce as fold
 from typing import Any
@@ -9,12 +10,16 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowframe.durable import durable, remove, shared_folder
 from rowframe.errors import RowFrameError
 from rowframe.functions import coerce as C
 from rowframe.operators.base import HIDDEN, Columns, Key, as_column, quote_name
 from rowframe.operators.columns import q
 from rowframe.operators.joins import JoinOperators
 
+#: Rows that a fold of expressions gathers at a time.
+FOLD_ROWS = 100_000
+
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
 
@@ -138,9 +143,30 @@ class GroupOperators(JoinOperators):
         return fold(fn, (r.asDict(recursive=True) for r in self.ordered().toLocalIterator(prefetchPartitions=True)), initial)
 
     def reduce_column(self, merge: Callable[[Column, Columns], Column], initial: Any) -> Any:
-        """An ordered fold of Column expressions, inside the JVM; the rows meet in one task."""
-        rows = F.transform(F.array_sort(F.collect_list(F.struct(self._least().alias("o"), F.struct(*[q(c) for c in self.columns]).alias("r"))), self._in_order), lambda x: x["r"])
-        return self._df.agg(F.aggregate(rows, as_column(initial), lambda acc, r: merge(acc, r)).alias("v")).first()["v"]
+        """An ordered fold of Column expressions, inside the JVM.
+
+        A fold is a sequence by nature, so a task gathers FOLD_ROWS rows at most: a larger table is written in chunks of
+        its order, and each chunk is folded from the result of the one before it.
+        """
+        if self._df.limit(FOLD_ROWS + 1).count() <= FOLD_ROWS:
+            return self._folded(self._df, self._least(), self._in_order, merge, as_column(initial)).first()["v"]
+        folder = f"{shared_folder(self.spark).rstrip('/')}/fold-{uuid.uuid4().hex}"
+        placed = self.with_row_index(f"{HIDDEN}at")._df
+        try:
+            placed.withColumn(f"{HIDDEN}chunk", F.expr(f"{quote_name(HIDDEN + 'at')} div {FOLD_ROWS}")).write.partitionBy(f"{HIDDEN}chunk").parquet(folder)
+            chunks = self.spark.read.parquet(folder)
+            state = self.spark.range(1).select(as_column(initial).alias("v"))
+            for k in range(-(-placed.count() // FOLD_ROWS)):
+                chunk = chunks.where(F.col(f"{HIDDEN}chunk") == k)
+                state = durable(self._folded(chunk, F.col(f"{HIDDEN}at"), _by_order, merge, state.scalar()))
+            return state.first()["v"]
+        finally:
+            remove(self.spark, folder)
+
+    def _folded(self, df: DataFrame, place: Column, compare: Callable[[Column, Column], Column], merge: Callable, start: Column) -> DataFrame:
+        """One row, v: the fold of the rows of ``df`` by their places."""
+        rows = F.array_sort(F.collect_list(F.struct(place.alias("o"), F.struct(*[q(c) for c in self.columns]).alias("r"))), compare)
+        return df.agg(rows.alias("rows")).select("rows", start.alias("start")).select(F.aggregate("rows", F.col("start"), lambda acc, x: merge(acc, x["r"])).alias("v"))
 
     def reduce_parallel(self, fn: Callable[[Any, dict[str, Any]], Any], merge: Callable[[Any, Any], Any], zero: Any) -> Any:
         """Partitions folded by ``fn`` from ``zero``, their results by ``merge`` in a tree; order holds within partitions."""

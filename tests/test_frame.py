@@ -213,6 +213,15 @@ def test_folds_and_iteration(shop, numbers):
     assert [r["value"] for r in shop.map(lambda r: F.upper(r.category)).to_array()][1] == "CLOTHING"
 
 
+def test_folds_of_many_rows_go_by_chunks(spark, monkeypatch):
+    monkeypatch.setattr("rowframe.operators.grouping.FOLD_ROWS", 4)
+    frame = Frame.from_data(spark, [{"id": k, "name": chr(97 + k)} for k in range(10)])
+    join = lambda acc, r: F.concat(acc, r["name"])
+    assert frame.reduce_column(join, "") == "abcdefghij"
+    assert frame.sort_by("name", "desc").reduce_column(join, ">") == ">jihgfedcba"
+    assert frame.head(8).reduce_column(lambda acc, r: acc * 2 + r["id"], F.lit(1).cast("long")) == 256 + sum(k << (7 - k) for k in range(8))
+
+
 def test_base_rows(shop, spark):
     assert shop.base_row({"price": "0"}) == {"id": None, "category": None, "price": "0", "inStock": None}
     assert shop.create_row({"id": "9"})["id"] == "9"
