@@ -487,13 +487,13 @@ def validate_keep(spark, sf_dir):
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, props FROM events")
 def csv_round_trip(spark, sf_dir):
     f = _t(spark, sf_dir, "events").transform(lambda r: {"event_id": r.event_id, "event_type": r.event_type, "props": r.props})
-    return from_file(spark, write_folder(f, _scratch(spark))).df
+    return from_file(spark, write_folder(f, _scratch(spark), Dialect(nulls=True)), Dialect(nulls=True)).df
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
 def csv_round_trip_of_texts(spark, sf_dir):
     f = _t(spark, sf_dir, "documents").transform(lambda r: {"doc_id": r.doc_id, "text": r.text})
-    return from_file(spark, write_folder(f, _scratch(spark), Dialect()), Dialect(multiline=True)).df
+    return from_file(spark, write_folder(f, _scratch(spark), Dialect(nulls=True)), Dialect(multiline=True, nulls=True)).df
 
 
 @query("SELECT n_nationkey || ',' || n_name AS line FROM nation")
@@ -512,7 +512,7 @@ def pipeline_over_a_file(spark, sf_dir):
 def stream_over_a_folder(spark, sf_dir):
     folder = _scratch(spark)
     f = _t(spark, sf_dir, "events").transform(lambda r: {"event_id": r.event_id, "event_type": r.event_type, "value": r.value})
-    f.df.write.option("header", True).csv(f"{folder}/in")
+    f.df.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}/in")
     p = Pipeline.watch(spark, f"{folder}/in", "event_id long, event_type string, value double").filter("event_type = 'view'").map(lambda r: {"event_id": r.event_id, "more": r.value + 1})
     p.run_to_folder(f"{folder}/out", f"{folder}/checkpoint", "parquet")
     return spark.read.parquet(f"{folder}/out")

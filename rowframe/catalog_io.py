@@ -196,7 +196,7 @@ def transformer_of_rows(spark, sf_dir):
 @query("SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS s FROM events WHERE event_type = 'click'")
 def stream_collected(spark, sf_dir):
     folder = _scratch(spark)
-    spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type").repartition(4).write.option("header", True).csv(folder)
+    spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type").repartition(4).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
     out = Pipeline.watch(spark, folder, "event_id long, event_type string", files_per_trigger=2).filter("event_type = 'click'").prepare_collect().run()
     return out.df.agg(F.count("*").alias("n"), F.sum("event_id").alias("s"))
 

@@ -20,7 +20,8 @@ class Dialect:
     """How a delimited text is written.
 
     ``columns``: True takes names from the first record, a list gives them, a callable maps the first record's names,
-    False leaves records as arrays. ``from_line`` counts lines from 1, ``to_record`` limits records.
+    False leaves records as arrays. ``from_line`` counts lines from 1, ``to_record`` limits records. With ``nulls`` an empty
+    cell is NULL without quotes and an empty text within them; else both are empty texts.
     """
 
     delimiter: str = ","
@@ -36,6 +37,7 @@ class Dialect:
     from_line: int = 1
     to_record: int | None = None
     multiline: bool = True
+    nulls: bool = False
 
     def reader_options(self) -> dict[str, Any]:
         """Spark reader options of this dialect."""
@@ -52,6 +54,8 @@ class Dialect:
             "columnPruning": False,
             "enforceSchema": True,
         }
+        if self.escape == self.quote:  # else Spark's parser takes a NUL beside a quote for an escape
+            own["charToEscapeQuoteEscaping"] = self.quote
         return own | ({"comment": self.comment} if self.comment else {})
 
 
@@ -89,13 +93,13 @@ class Retry:
 
 def records(text: str, d: Dialect) -> Iterator[list[str]]:
     """The records of a text, without comments and, if so asked, blank lines."""
-    kind = {"delimiter": d.delimiter, "quotechar": d.quote, "doublequote": d.escape == d.quote, "escapechar": None if d.escape == d.quote else d.escape, "skipinitialspace": False, "strict": True}
+    kind = {"delimiter": d.delimiter, "quotechar": d.quote, "doublequote": d.escape == d.quote, "escapechar": None if d.escape == d.quote else d.escape, "skipinitialspace": False, "strict": True, "quoting": csv.QUOTE_NOTNULL if d.nulls else csv.QUOTE_MINIMAL}
     lines = io.StringIO(text.removeprefix("﻿") if d.bom else text, newline="")
     try:
         for cells in csv.reader((x for x in lines if not (d.comment and x.startswith(d.comment))), **kind):
-            if d.skip_empty_lines and not any(c.strip() for c in cells):
+            if d.skip_empty_lines and not any(c and c.strip() for c in cells):
                 continue
-            yield [c.strip() for c in cells] if d.trim else cells
+            yield [c and c.strip() for c in cells] if d.trim else cells
     except csv.Error as e:
         raise RowFrameError(f"the text cannot be parsed: {e}", e) from e
 
@@ -118,6 +122,7 @@ def parse(text: str, d: Dialect) -> tuple[list[str], list[list[str]]]:
         if d.columns is False:
             names, rows = [str(k) for k in range(len(first))], chain([first], rows)
         else:
+            first = [c or "" for c in first]
             names = d.columns(first) if callable(d.columns) else first
     out = []
     for k, row in enumerate(islice(rows, d.to_record)):

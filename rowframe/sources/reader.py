@@ -7,6 +7,7 @@ quoted line feeds, needs whole files in one task each.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from typing import IO, Any
@@ -111,7 +112,7 @@ def _scan(spark: SparkSession, path: str, d: Dialect) -> tuple[DataFrame, list[K
         skipped = d.from_line - 1 + named
         lines, keys = _keyed(spark.read.option("encoding", d.encoding).text(path))
         kept = _without_first_lines(lines, skipped, len(_files(spark, path))).where(F.trim("value") != "")
-        cells = F.from_csv(F.col("value"), ", ".join(f"{quote_name(n)} string" for n in names), {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in d.reader_options().items() if k in ("sep", "quote", "escape", "emptyValue", "mode")})
+        cells = F.from_csv(F.col("value"), ", ".join(f"{quote_name(n)} string" for n in names), {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in d.reader_options().items() if k in ("sep", "quote", "escape", "charToEscapeQuoteEscaping", "emptyValue", "mode")})
         return kept.select(cells.alias("c"), *[k.name for k in keys]).select("c.*", *[k.name for k in keys]), keys
     if d.from_line > 1:
         return _whole_files(spark, path, d, None)
@@ -119,8 +120,14 @@ def _scan(spark: SparkSession, path: str, d: Dialect) -> tuple[DataFrame, list[K
     if not head:
         return spark.createDataFrame([], T.StructType([T.StructField(f"{HIDDEN}0", T.LongType())])), [Key(f"{HIDDEN}0")]
     names = _names(head, d)
-    rows = spark.read.options(**d.reader_options()).option("header", named).schema(_strings(names)).csv(path)
+    options = d.reader_options()
+    if d.nulls:  # Spark's parser takes an empty text for NULL, so one in quotes comes as a text that no file holds
+        options["emptyValue"] = uuid.uuid4().hex
+    rows = spark.read.options(**options).option("header", named).schema(_strings(names)).csv(path)
     keyed, keys = _keyed(rows)
+    if d.nulls:
+        cells = [F.when(F.col(q) == options["emptyValue"], "").otherwise(F.col(q)).alias(n) for n, q in zip(names, map(quote_name, names), strict=True)]
+        return keyed.select(*cells, *[k.name for k in keys]), keys
     return keyed.na.fill("", names), keys
 
 

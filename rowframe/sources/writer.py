@@ -11,6 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowframe.errors import RowFrameError
 from rowframe.functions import coerce as C
 from rowframe.functions.text import to_json_text
 from rowframe.operators.base import quote_name
@@ -29,8 +30,12 @@ def output_cell(c: Column, kind: T.DataType) -> Column:
     return F.when(c.isNull(), "").otherwise(C.dyn_string(c, kind))
 
 
-def _texts(frame):
-    return frame._select([output_cell(F.col(quote_name(f.name)), f.dataType).alias(f.name) for f in frame.schema])
+def _texts(frame, nulls: bool = False):
+    """The frame with its cells' texts; NULL stays NULL where the dialect tells it from an empty text."""
+    if nulls and len(frame.columns) == 1:
+        raise RowFrameError("a file of one column cannot tell NULL from a blank line")
+    cells = [(F.col(quote_name(f.name)), f) for f in frame.schema]
+    return frame._select([(F.when(c.isNotNull(), output_cell(c, f.dataType)) if nulls else output_cell(c, f.dataType)).alias(f.name) for c, f in cells])
 
 
 class _Lines:
@@ -38,7 +43,7 @@ class _Lines:
 
     def __init__(self, d: Dialect, quoted: bool = False):
         self.buffer = io.StringIO()
-        self.writer = csv.writer(self.buffer, delimiter=d.delimiter, quotechar=d.quote, doublequote=d.escape == d.quote, escapechar=None if d.escape == d.quote else d.escape, lineterminator="\n", quoting=csv.QUOTE_ALL if quoted else csv.QUOTE_MINIMAL)
+        self.writer = csv.writer(self.buffer, delimiter=d.delimiter, quotechar=d.quote, doublequote=d.escape == d.quote, escapechar=None if d.escape == d.quote else d.escape, lineterminator="\n", quoting=csv.QUOTE_ALL if quoted else csv.QUOTE_NOTNULL if d.nulls else csv.QUOTE_MINIMAL)
 
     def line(self, cells: Sequence[Any]) -> str:
         self.writer.writerow(cells)
@@ -50,8 +55,9 @@ class _Lines:
 
 def lines_of(frame, dialect: Dialect | None = None, header: bool | Sequence[str] = True, header_map: Mapping | None = None, preamble: str | None = None, quoted: bool = False) -> Iterator[str]:
     """The file's lines in order, streamed: preamble, header, rows."""
-    flat = unmap_rows(frame, header_map) if header_map else _texts(frame)
-    out = _Lines(dialect or Dialect(), quoted)
+    d = dialect or Dialect()
+    flat = unmap_rows(frame, header_map) if header_map else _texts(frame, d.nulls)
+    out = _Lines(d, quoted)
     before = frame.preamble if preamble is None else preamble
     if before:
         yield before if before.endswith("\n") else before + "\n"
@@ -111,8 +117,10 @@ def write_file(frame, path: str, *, bom: bool = False, suffix: bool = True, retr
 def write_folder(frame, path: str, dialect: Dialect | None = None, header: bool = True, header_map: Mapping | None = None, mode: str = "errorifexists") -> str:
     """A folder of part files written in parallel; parts are range-sorted, so their names follow the order."""
     d = dialect or Dialect()
-    flat = unmap_rows(frame, header_map) if header_map else _texts(frame)
-    flat.ordered().write.mode(mode).options(header=header, sep=d.delimiter, quote=d.quote, escape=d.escape, emptyValue="", encoding=d.encoding).csv(path)
+    flat = unmap_rows(frame, header_map) if header_map else _texts(frame, d.nulls)
+    empty = d.quote * 2 if d.nulls or len(flat.columns) == 1 else ""  # a blank line is no record
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # Spark's writer trims cells by default
+    flat.ordered().write.mode(mode).options(header=header, sep=d.delimiter, quote=d.quote, escape=d.escape, emptyValue=empty, encoding=d.encoding, **whole).csv(path)
     return path
 
 

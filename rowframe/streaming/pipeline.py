@@ -154,7 +154,7 @@ class Pipeline:
         out = Frame(self.stream())
         for step in self.steps:
             out = step(out)
-        out.df.writeStream.format(fmt).option("header", True).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        out.df.writeStream.format(fmt).options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
     def __iter__(self) -> Iterator[dict[str, Any]]:
         return iter(self.frame())

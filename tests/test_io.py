@@ -11,6 +11,7 @@ from rowframe import (
     Caster, Check, CustomCasts, Dialect, Field, Frame, FromArray, Pipeline, Retry, RowFrameError, RowSchema, SchemaConfig, ToArray, batches_of, dialect, from_file, from_stream,
     from_string, invert, is_valid_csv, map_rows, python_caster, rows_of, to_string, unmap_rows, validate, write_file, write_folder, write_rows,
 )
+from rowframe import catalog
 from rowframe.functional import array_transformations
 from rowframe.parallel import process_in_parallel, process_in_worker
 
@@ -246,6 +247,28 @@ def test_text_round_trip(spark, rows):
     assert from_string(spark, to_string(f)).to_array() == f.to_array()
 
 
+ODD_TEXTS = [" lead", "trail ", "\t \n", "\n", "\r", "x\r\n", "", None, '""', ' "a" ', 'a"\0', '\0"', "\0", "\x1fx\x1f", 'a,"\n"', "\\", "null"]
+
+
+def test_folder_keeps_odd_texts(spark, tmp_path):
+    """White space at the ends, NULL beside empty texts, NUL beside quotes."""
+    f, d = Frame.from_data(spark, [{"id": str(k), "text": t} for k, t in enumerate(ODD_TEXTS)], "id string, text string"), Dialect(nulls=True)
+    assert [r["text"] for r in from_file(spark, write_folder(f, str(tmp_path / "f"), d), d).to_array()] == ODD_TEXTS
+    assert [r["text"] for r in from_file(spark, write_folder(f, str(tmp_path / "g"))).to_array()] == [t or "" for t in ODD_TEXTS]
+    assert from_string(spark, to_string(f.filter("id < 4"), dialect=d), d).to_array() == f.filter("id < 4").to_array()
+    one = Frame.from_data(spark, [{"text": ""}, {"text": " x"}])
+    assert from_file(spark, write_folder(one, str(tmp_path / "one"))).to_array() == one.to_array()
+    with pytest.raises(RowFrameError, match="one column"):
+        write_folder(one, str(tmp_path / "none"), d)
+
+
+def test_round_trip_query_keeps_odd_texts(spark, tmp_path):
+    rows = list(enumerate(ODD_TEXTS))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {int(r["doc_id"]): r["text"] for r in catalog.QUERIES["csv_round_trip_of_texts"](spark, str(tmp_path)).collect()}
+    assert got == dict(rows)
+
+
 def test_folder_with_an_empty_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     (tmp_path / "b c.csv").write_text("id,v\n1,x\n")
