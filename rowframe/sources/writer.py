@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import os
+import re
+import sys
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import IO, Any
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowframe.durable import remove, shared_folder
 from rowframe.errors import RowFrameError
 from rowframe.functions import coerce as C
 from rowframe.functions.text import to_json_text
@@ -53,18 +59,39 @@ class _Lines:
         return text
 
 
-def lines_of(frame, dialect: Dialect | None = None, header: bool | Sequence[str] = True, header_map: Mapping | None = None, preamble: str | None = None, quoted: bool = False) -> Iterator[str]:
-    """The file's lines in order, streamed: preamble, header, rows."""
+def _line(names: Sequence[str], d: Dialect, quoted: bool = False) -> Column:
+    """The line of a row of text cells, without its end, as _Lines writes it."""
+    double, cells = d.escape == d.quote, []
+    for name in names:
+        c = body = F.col(quote_name(name))
+        for x in (d.quote,) if double else (d.escape, d.quote):
+            body = F.replace(body, F.lit(x), F.lit(d.escape + x))
+        apart = F.lit(quoted)
+        for x in (d.delimiter, "\n", "\r", *((d.quote,) if double else ())):
+            apart = apart | c.contains(x)
+        if d.nulls or len(names) == 1:
+            apart = apart | (c == "")
+        cells.append(F.coalesce(F.when(apart, F.concat(F.lit(d.quote), body, F.lit(d.quote))).otherwise(body), F.lit("")))
+    return F.concat_ws(d.delimiter, *cells)
+
+
+def _planned(frame, dialect: Dialect | None = None, header: bool | Sequence[str] = True, header_map: Mapping | None = None, preamble: str | None = None, quoted: bool = False) -> tuple[list[str], DataFrame]:
+    """What stands before the rows (preamble, header), and the rows' lines in order, without their ends."""
     d = dialect or Dialect()
     flat = unmap_rows(frame, header_map) if header_map else _texts(frame, d.nulls)
-    out = _Lines(d, quoted)
     before = frame.preamble if preamble is None else preamble
-    if before:
-        yield before if before.endswith("\n") else before + "\n"
+    head = [before if before.endswith("\n") else before + "\n"] if before else []
     if header:
-        yield out.line(flat.columns if header is True else list(header))
-    for row in flat.ordered().toLocalIterator(prefetchPartitions=True):
-        yield out.line(row)
+        head.append(_Lines(d, quoted).line(flat.columns if header is True else list(header)))
+    return head, flat.ordered().select(_line(flat.columns, d, quoted).alias("value"))
+
+
+def lines_of(frame, **options: Any) -> Iterator[str]:
+    """The file's lines in order, streamed: preamble, header, rows; options as of _planned()."""
+    head, rows = _planned(frame, **options)
+    yield from head
+    for row in rows.toLocalIterator(prefetchPartitions=True):
+        yield row["value"] + "\n"
 
 
 def to_string(frame, **options: Any) -> str:
@@ -72,13 +99,25 @@ def to_string(frame, **options: Any) -> str:
     return "".join(lines_of(frame, **{"preamble": ""} | options))
 
 
+def _is_local(spark, path: str) -> bool:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return "://" not in path and not path.startswith("file:") and (conf.get("fs.defaultFS") or "file:").startswith("file:")
+
+
+def _stream(spark, path: str) -> Any:
+    """The JVM's output stream into a path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    if _is_local(spark, path):
+        return jvm.java.io.FileOutputStream(os.path.abspath(path))
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf).create(at, True)
+
+
 def _open(spark, path: str) -> IO[bytes]:
     """A binary sink for a local path, or for any path that Hadoop's file systems know."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    if "://" not in path and not path.startswith("file:") and (conf.get("fs.defaultFS") or "file:").startswith("file:"):
+    if _is_local(spark, path):
         return open(path, "wb")
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(conf).create(at, True)
+    stream = _stream(spark, path)
 
     class Sink(io.RawIOBase):
         def writable(self) -> bool:
@@ -96,19 +135,56 @@ def _open(spark, path: str) -> IO[bytes]:
     return io.BufferedWriter(Sink(), 1 << 20)
 
 
+#: Encodings that begin with a byte order mark, and how a file goes on after it.
+MARKED = {"utf-8-sig": "utf-8", "utf-16": f"utf-16-{sys.byteorder[0]}e", "utf-32": f"utf-32-{sys.byteorder[0]}e"}
+
+
+def _write_lines(rows: DataFrame, folder: str, encoding: str) -> None:
+    """Lines as part files in an encoding, each with its end."""
+    name = codecs.lookup(encoding).name
+    name = MARKED.get(name, name)
+    if name != "utf-8":
+        rows = rows.select(F.udf(lambda line: line.encode(name), "binary")("value").cast("string").alias("value"))
+    rows.write.options(lineSep="\n".encode(name).decode("latin-1"), compression="none").text(folder)
+
+
+def _join_parts(spark, head: bytes, folder: str, target: str) -> None:
+    """One file of ``head`` and the folder's parts in their order; a part goes as soon as it is copied."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(conf)
+    found = ((re.match(r"part-(\d+).*?(?:-c(\d+))?\.\w+$", s.getPath().getName()), s.getPath()) for s in fs.listStatus(at))
+    parts = sorted(((int(m[1]), int(m[2] or 0)), k, p) for k, (m, p) in enumerate(found) if m)
+    sink = _stream(spark, target)
+    try:
+        sink.write(bytearray(head), 0, len(head))
+        for _, _, part in parts:
+            source = fs.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, sink, 1 << 20, False)
+            finally:
+                source.close()
+            fs.delete(part, False)
+    finally:
+        sink.close()
+
+
 def write_file(frame, path: str, *, bom: bool = False, suffix: bool = True, retry: Retry | None = None, encoding: str = "utf-8", **options: Any) -> str:
-    """One file, in order; rows stream through the driver, which holds one partition at most. ``.csv`` is added if absent.
+    """One file, in order; ``.csv`` is added if absent.
 
-    For tables that one file should not hold, see write_folder().
+    Executors write the lines as parts in the shared folder, and the driver's JVM copies the parts' bytes into the file,
+    a buffer at a time: no rows come to the driver. For tables that one file should not hold, see write_folder().
     """
     target = path if not suffix or path.endswith(".csv") else path + ".csv"
 
     def write() -> str:
-        with _open(frame.spark, target) as sink:
-            if bom:
-                sink.write("﻿".encode(encoding))
-            for line in lines_of(frame, **options):
-                sink.write(line.encode(encoding))
+        head, rows = _planned(frame, **options)
+        folder = f"{shared_folder(frame.spark).rstrip('/')}/{uuid.uuid4().hex}"
+        try:
+            _write_lines(rows, folder, encoding)
+            _join_parts(frame.spark, "".join(["﻿"] * bom + head).encode(encoding), folder, target)
+        finally:
+            remove(frame.spark, folder)
         return target
 
     return retry.run(write, f"writing {target}") if retry else write()
@@ -138,6 +214,6 @@ def write_rows(path: str, rows: Iterable[Mapping[str, Any]], header: Sequence[st
             if names is None:
                 names = list(row)
                 sink.write(out.line(names))
-            sink.write(out.line(["" if row.get(k) is None else row.get(k) for k in names]))
+            sink.write(out.line([row.get(k) for k in names]))
             n += 1
     return n

@@ -1,6 +1,9 @@
 """Reading, mapping, casting, validating, writing and streaming of delimited text."""
 
+import csv
 import io
+import itertools
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -214,6 +217,40 @@ def test_writing(spark, tmp_path):
     assert (tmp_path / "g.csv").read_text() == "a\n0\n1\n2\n"
 
 
+def test_a_file_is_written_by_executors(spark, tmp_path):
+    """No task sends rows to the driver, and parts stand in the frame's order."""
+    rows = 30000
+    f = Frame.from_df(spark.range(rows).repartition(7).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 8).alias("pad")), "id").sort_by("id", "desc")
+    iterate, calls = type(f.df).toLocalIterator, []
+    type(f.df).toLocalIterator = lambda *a, **b: calls.append(a) or iterate(*a, **b)
+    try:
+        path = write_file(f, str(tmp_path / "o"), bom=True, preamble="note")
+    finally:
+        type(f.df).toLocalIterator = iterate
+    note, header, *lines = open(path, encoding="utf-8-sig", newline="").read().split("\n")
+    assert (note, header, lines[-1]) == ("note", "id,pad", "") and [int(x.split(",")[0]) for x in lines[:-1]] == list(range(rows - 1, -1, -1))
+    assert not calls and os.listdir(tmp_path) == ["o.csv"]
+
+
+@pytest.mark.parametrize("d", [Dialect(), Dialect(delimiter=";", quote="'", escape="'"), Dialect(escape="\\"), Dialect(delimiter="|", escape="\\")])
+@pytest.mark.parametrize("columns", [1, 2])
+def test_lines_are_those_of_a_csv_writer(spark, d, columns):
+    cells = ["", *("".join(x) for n in (1, 2, 3) for x in itertools.product("a\"',;|\\\n\r ", repeat=n))]
+    table = [(c, cells[-k])[:columns] for k, c in enumerate(cells)]
+    f = Frame.from_data(spark, [dict(zip("ab", r, strict=False)) for r in table], ", ".join(f"{n} string" for n in "ab"[:columns]))
+    out = io.StringIO()
+    own = {} if d.escape == d.quote else {"doublequote": False, "escapechar": d.escape}
+    csv.writer(out, delimiter=d.delimiter, quotechar=d.quote, lineterminator="\n", **own).writerows(table)
+    assert to_string(f, dialect=d, header=False) == out.getvalue()
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "iso-8859-1", "cp1252", "utf-16-le", "utf-16", "utf-32-be"])
+def test_encodings_of_a_file(spark, tmp_path, encoding):
+    f = Frame.from_data(spark, [{"a": "café", "b": 'x\n"y"'}, {"a": "ÿþ", "b": ""}]).sort_by("a", "desc")
+    text = f.to_string()
+    assert "café" in text and open(write_file(f, str(tmp_path / "o"), encoding=encoding), "rb").read() == text.encode(encoding)
+
+
 def test_pipelines(spark, products, tmp_path):
     p = Pipeline.from_file(spark, products).filter("inStock = 'true'").add_column("twice", lambda r: r.price.cast("int") * 2)
     assert [r["twice"] for r in p.prepare_collect().run().to_array()] == [200, 600]
